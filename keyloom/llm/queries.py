@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import langid, quality, tiff
+from keyloom.llm import langid, packing, quality, tiff, urls, warc
 from keyloom.llm.common import held_out, table
 
 
@@ -25,20 +26,49 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.with_features(pages).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, vocabulary.path("byte_bpe_50k.json"), vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, ~held_out())
     return quality.with_scores(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality label of the document whose number its path ends in."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    host, path = urls.parts(F.col("url"))
+    made_from = F.regexp_extract(path, r"^/[a-z]+/([0-9]{1,18})", 1)
+    numbered = pages.select(host.alias("host"), F.when(made_from != "", made_from.cast("long")).alias("doc_id")).where("doc_id is not null")
+    outcomes = numbered.join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id")
+    return urls.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~held_out())
     return langid.with_languages(docs, model, keep=["doc_id"], spans=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_tiff": op2_tiff, "op7_quality": op7_quality, "op9_language": op9_language}
+    return {
+        "op2_tiff": op2_tiff,
+        "op5_packing": op5_packing,
+        "op7_quality": op7_quality,
+        "op8_urls": op8_urls,
+        "op9_language": op9_language,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
