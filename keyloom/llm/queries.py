@@ -8,10 +8,14 @@ import public_tokenizers as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import langid, packing, quality, tiff, urls, warc
+from keyloom.llm import decontam, langid, packing, quality, simhash, substrings, tiff, urls, warc
 from keyloom.llm.common import held_out, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = tiff.with_media(docs, keep=["doc_id"])
@@ -26,11 +30,20 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.with_features(pages).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_error=0.08)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, vocabulary.path("byte_bpe_50k.json"), vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substrings.without_repeats(docs, keep=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, ~held_out())
@@ -62,8 +75,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op2_tiff": op2_tiff,
+        "op3_decontamination": op3_decontamination,
         "op5_packing": op5_packing,
+        "op6_substrings": op6_substrings,
         "op7_quality": op7_quality,
         "op8_urls": op8_urls,
         "op9_language": op9_language,
