@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,3 +173,22 @@ def matches(
         part = in_batches(given, schema, make)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.05, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """The documents in which no item occurs, with their columns; nothing is shuffled."""
+    for block in _blocks(benchmark, item, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes
+
+        def make(shared=shared):
+            matcher = Matcher(list(enumerate(t for _, t in shared.value)), max_error)
+
+            def each(batch):
+                clean = [not matcher.find(normalised(t)) for t in values(batch, text)]
+                kept = batch.filter(pa.array(clean))
+                yield {f.name: kept.column(k) for k, f in enumerate(batch.schema)}
+
+            return each
+
+        docs = in_batches(docs, docs.schema, make)
+    return docs

@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -314,3 +315,25 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k
         return each
 
     return in_batches(given, schema, make)
+
+
+def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """The documents with repeated strings cut from their texts, columns as before.
+
+    A character of which a byte is removed goes whole.  Documents that lose all but
+    white space go; an ``n_chars`` column is brought up to date.
+    """
+    columns = docs.columns
+    cut = without_repeats(docs, text, length)
+    rest = cut.withColumn(text, F.when(F.col("n_removed") > 0, _decoded(F.col("kept"))).otherwise(F.col(text)))
+    rest = rest.where((F.col("n_removed") == 0) | (F.trim(text) != ""))
+    if "n_chars" in columns:
+        rest = rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rest.select(*columns)
+
+
+def _decoded(raw: Column) -> Column:
+    def decode(given: pd.Series) -> pd.Series:
+        return given.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+
+    return F.pandas_udf(decode, "string")(raw)
