@@ -8,7 +8,7 @@ import public_tokenizers as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontam, langid, packing, quality, simhash, substrings, tiff, urls, warc
+from keyloom.llm import decontam, langid, packing, quality, simhash, substrings, tiff, transcript, urls, warc
 from keyloom.llm.common import held_out, table
 
 
@@ -34,6 +34,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_error=0.08)
 
 
+def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transcripts are made of the table; their roles are recovered without its role column, which only training rows show."""
+    raw = transcript.raw_transcripts(table(spark, sf_dir, "conversations"))
+    rows = transcript.lines(raw, role="role")
+    model = transcript.fit(rows.where(~held_out("conv")))
+    turns = transcript.turns_of(rows, model)
+    return turns.select(F.col("conv").alias("conv_id"), held_out("conv").alias("held_out"), "turn", "line", "begins", "role", "truth", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"), "rendered")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, vocabulary.path("byte_bpe_50k.json"), vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN)
@@ -78,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_tiff": op2_tiff,
         "op3_decontamination": op3_decontamination,
+        "op4_transcripts": op4_transcripts,
         "op5_packing": op5_packing,
         "op6_substrings": op6_substrings,
         "op7_quality": op7_quality,
