@@ -4,7 +4,7 @@ Each byte covered by a ``length``-byte string that also starts anywhere else in
 corpus (another text or the same) is removed; strings are judged on the input.
 
 1.  Every window of ``length`` bytes is assigned to its anchor, the leftmost of its
-    32-byte strings with the least hash.  Equal windows have equal anchors at equal
+    80-byte strings with the least hash.  Equal windows have equal anchors at equal
     distances, so windows can be compared anchor by anchor.  The bytes that an
     anchor's windows span are its segment.
 2.  Anchors that occur once have no repeated window.  A segment that occurs twice is
@@ -14,8 +14,12 @@ corpus (another text or the same) is removed; strings are judged on the input.
     sorted, and a breadth-first backward extension on its Burrows-Wheeler transform
     finds the common prefixes of neighbours by increasing value, stopping at
     ``length``: neighbours without a value by then share ``length`` bytes.
-4.  An anchor with more segments than a block holds is not gathered: its windows
-    are counted by hash, offset by offset.  Nothing is capped or left out.
+4.  An anchor with more segments than a block holds is not gathered.  Its windows are
+    split by their distance from the anchor into ranges, first of 16, then of 4, then
+    single.  The bytes that all windows of a range share are the key of a new group,
+    and those that any of them covers its segment, so the same steps decide it: keys
+    that occur once go, equal segments are repeated whole, small groups are gathered.
+    A single window is its own key, so nothing is left undecided, capped or left out.
 
 Texts are compared as UTF-8 (null: empty) and matches never cross them.  Rows are
 known by their text, so repeated and null keys are no special case: copies of a
@@ -37,9 +41,10 @@ from pyspark.sql import types as T
 from keyloom.llm.common import dropped, in_batches, partitions, stored, texts, values
 
 LENGTH = 200
-GRAM = 32
-#: Bytes of a block, and the number of segments beyond which an anchor's windows are counted by hash.
+GRAM = 80
+#: Bytes of a block, and the number of segments beyond which an anchor's windows are split.
 BLOCK, MANY = 1 << 18, 900
+RANGES = (16, 4, 1)
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = 23  # bits for a position in a stretch of a text; the hash has the rest
 _powers: list[np.ndarray] = []
@@ -181,6 +186,10 @@ def _identity(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(whole), F.shiftleft(F.octet_length(whole).cast("long"), 32).bitwiseOR(F.crc32(whole))
 
 
+_BODY = ("h", "tag", "anchor", "seg", "copies", "first", "lead", "body")
+_BODY_SCHEMA = "h long, tag long, anchor long, seg long, copies long, first long, lead long, body binary"
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, many: int = MANY) -> DataFrame:
     """``h, tag, spans``: for each text with repeated windows (known by h and tag), spans that together cover them."""
     h, tag = _identity(F.col(text))
@@ -190,47 +199,99 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ma
         def each(batch):
             found = []
             for i, t in enumerate(texts(batch, text)):
-                a, _, first, last = anchors(t, length)
+                a, place, first, last = anchors(t, length)
                 view = memoryview(t)
                 seg = [xxhash.xxh3_64_intdigest(view[x : y + length]) for x, y in zip(first.tolist(), last.tolist())]
-                found.append((np.full(len(a), i), a, np.array(seg, dtype=np.uint64).view(np.int64), first, last))
-            row, a, seg, first, last = (np.concatenate(x) for x in zip(*found))
+                found.append((np.full(len(a), i), a, np.array(seg, dtype=np.uint64).view(np.int64), first, last, place - first))
+            row, a, seg, first, last, lead = (np.concatenate(x) for x in zip(*found))
             for k in range(0, len(row), 1 << 17):
                 part = slice(k, k + (1 << 17))
-                yield {c: batch.column(batch.schema.get_field_index(c)).take(_arrow(row[part])) for c in ("h", "tag")} | {c: _arrow(x[part]) for c, x in (("anchor", a), ("seg", seg), ("first", first), ("last", last))}
+                yield {c: batch.column(batch.schema.get_field_index(c)).take(_arrow(row[part])) for c in ("h", "tag")} | {c: _arrow(x[part]) for c, x in (("anchor", a), ("seg", seg), ("first", first), ("last", last), ("lead", lead))}
 
         return each
 
-    every = stored(in_batches(given, "h long, tag long, anchor long, seg long, first long, last long", make_segments), "segments")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    every = stored(in_batches(given, "h long, tag long, anchor long, seg long, first long, last long, lead long", make_segments), "segments")
+    # stored, so that the join below has a shuffle on either side and can be split where an anchor is hot
+    again = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     shared = stored(every.join(again, "anchor"), "shared-segments")
-    dropped(every)
-    kinds = stored(shared.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("h", "tag", "first", "last")).alias("at")), "segment-kinds")
-    whole = shared.join(kinds.where("copies > 1").select("anchor", "seg"), ["anchor", "seg"]).select("h", "tag", F.col("first").alias("a"), (F.col("last") + length).alias("b")).distinct()
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
-    wanted = kinds.join(mixed, "anchor").select("at.*", "anchor", "copies", "kinds")
-    listed = wanted.groupBy("h", "tag").agg(F.collect_list(F.struct("anchor", "copies", "kinds", "first", "last")).alias("wanted"))
-    listed = listed.repartition(partitions(docs.sparkSession), "h")
-    schema = "h long, tag long, anchor long, kinds long, copies long, first long, body binary"
+    dropped(every, again)
+    kinds = stored(shared.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("h", "tag", "first", "last", "lead")).alias("at")), "segment-kinds")
+    copied = stored(kinds.where("copies > 1").select("anchor", "seg"), "copied-segments")
+    whole = shared.join(copied, ["anchor", "seg"]).select("h", "tag", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    mixed = _mixed(kinds).select("anchor")
+    wanted = kinds.join(mixed, "anchor").select("at.*", "anchor", "seg", "copies")
+    listed = wanted.groupBy("h", "tag").agg(F.collect_list(F.struct("anchor", "seg", "copies", "first", "last", "lead")).alias("wanted"))
 
     def make_bodies():
         def each(batch):
             rows = []
             for x, y, t, given in zip(values(batch, "h"), values(batch, "tag"), texts(batch, text), values(batch, "wanted")):
-                rows += [(x, y, w["anchor"], w["kinds"], w["copies"], w["first"], t[w["first"] : w["last"] + length]) for w in given]
+                rows += [(x, y, w["anchor"], w["seg"], w["copies"], w["first"], w["lead"], t[w["first"] : w["last"] + length]) for w in given]
                 if len(rows) > 4096:
-                    yield dict(zip(("h", "tag", "anchor", "kinds", "copies", "first", "body"), map(list, zip(*rows))))
+                    yield dict(zip(_BODY, map(list, zip(*rows))))
                     rows = []
             if rows:
-                yield dict(zip(("h", "tag", "anchor", "kinds", "copies", "first", "body"), map(list, zip(*rows))))
+                yield dict(zip(_BODY, map(list, zip(*rows))))
 
         return each
 
     # copies of a text give equal rows; they are made one before bodies are gathered
-    bodies = in_batches(given.join(listed, ["h", "tag"]), schema, make_bodies).groupBy("h", "tag", "anchor", "first").agg(*[F.first(c).alias(c) for c in ("kinds", "copies", "body")])
-    bodies = stored(bodies, "segment-bodies")
-    found = whole.unionByName(_in_blocks(bodies.where(F.col("kinds") <= many), length)).unionByName(_by_hash(bodies.where(F.col("kinds") > many), length))
-    return found.groupBy("h", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    bodies = in_batches(given.join(listed, ["h", "tag"]), _BODY_SCHEMA, make_bodies).groupBy("anchor", "seg").agg(*[F.first(c).alias(c) for c in _BODY if c not in ("anchor", "seg")])
+    bodies = stored(bodies.select(*_BODY), "segment-bodies")
+    found = whole
+    for width in RANGES:
+        sizes = stored(bodies.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"), "large-anchors")
+        if sizes.isEmpty():
+            break
+        found = found.unionByName(_in_blocks(bodies.join(sizes, "anchor", "left_anti"), length))
+        parts = stored(_ranges(bodies.join(sizes, "anchor", "left_semi"), width, length), "ranges")
+        kinds = stored(parts.groupBy("anchor", "seg").agg(F.sum("copies").alias("copies")), "range-kinds")
+        copied = stored(kinds.where("copies > 1").select("anchor", "seg"), "copied-ranges")
+        inside = parts.where("copies = 1").join(copied, ["anchor", "seg"])
+        found = found.unionByName(inside.select("h", "tag", F.col("first").alias("a"), (F.col("first") + F.octet_length("body")).alias("b")))
+        left = _mixed(kinds).select("anchor")
+        chosen = parts.drop("copies").join(left, "anchor").join(kinds, ["anchor", "seg"]).groupBy("anchor", "seg").agg(F.first("copies").alias("copies"), *[F.first(c).alias(c) for c in _BODY if c not in ("anchor", "seg", "copies")])
+        bodies = stored(chosen.select(*_BODY), "range-bodies")
+    else:
+        # of single windows, groups with more than one kind cannot be: the key is the whole window
+        sizes = None
+    if sizes is not None:
+        found = found.unionByName(_in_blocks(bodies, length))
+    return found.groupBy("h", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+
+def _mixed(kinds: DataFrame) -> DataFrame:
+    """Anchors with differing segments, of which one at least occurs once."""
+    return kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1")
+
+
+def _ranges(bodies: DataFrame, width: int, length: int) -> DataFrame:
+    """Bodies cut to windows whose distances from the anchor fall into one range of ``width``; the new key is what those windows share."""
+
+    def make():
+        def each(batch):
+            rows = []
+            for h, tag, anchor, copies, first, lead, body in zip(*(values(batch, c) for c in ("h", "tag", "anchor", "copies", "first", "lead", "body"))):
+                view, n = memoryview(body), len(body) - length + 1
+                # window i starts lead - i bytes before the anchor
+                for k in range((lead - n + 1) // width, lead // width + 1):
+                    i, j = max(0, lead - (k + 1) * width + 1), min(n - 1, lead - k * width)
+                    core = view[lead - k * width : lead - (k + 1) * width + 1 + length]
+                    rows.append((h, tag, _key(anchor, k, core), _key(anchor, k, view[i : j + length]), copies, first + i, lead - i, body[i : j + length]))
+                if len(rows) > 4096:
+                    yield dict(zip(_BODY, map(list, zip(*rows))))
+                    rows = []
+            if rows:
+                yield dict(zip(_BODY, map(list, zip(*rows))))
+
+        return each
+
+    return in_batches(bodies.select(*_BODY), _BODY_SCHEMA, make)
+
+
+def _key(anchor: int, k: int, part) -> int:
+    x = xxhash.xxh3_64_intdigest(part, seed=(anchor ^ k * 0x9E3779B1) & ((1 << 64) - 1))
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _arrow(x: np.ndarray):
@@ -272,23 +333,6 @@ def _in_blocks(bodies: DataFrame, length: int) -> DataFrame:
     return in_batches(grouped, "h long, tag long, a long, b long", make)
 
 
-def _by_hash(bodies: DataFrame, length: int) -> DataFrame:
-    """Windows of anchors with very many segments, counted by two hashes; counts are summed before they are shuffled."""
-
-    def make():
-        def each(batch):
-            for h, tag, copies, first, body in zip(*(values(batch, c) for c in ("h", "tag", "copies", "first", "body"))):
-                view, n = memoryview(body), len(body) - length + 1
-                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in range(n)), dtype=np.int64).reshape(-1, 2)
-                yield {"h": [h] * n, "tag": [tag] * n, "copies": [copies] * n, "start": list(range(first, first + n)), "w1": _arrow(np.ascontiguousarray(both[:, 0])), "w2": _arrow(np.ascontiguousarray(both[:, 1]))}
-
-        return each
-
-    windows = stored(in_batches(bodies, "h long, tag long, copies long, start long, w1 long, w2 long", make), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return windows.where("copies = 1").join(again, ["w1", "w2"]).select("h", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-
-
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns with ``kept`` (the remaining bytes), ``n_bytes, n_removed, n_spans, kept_sha256`` and ``removed`` (start, end of each run)."""
     new = T.StructType.fromDDL("kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>").fields
