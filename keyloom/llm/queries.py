@@ -97,5 +97,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _strength(name: str, groups: str, parent: str) -> str:
+    p, v = "CAST(good AS DOUBLE) / n", f"{parent} * (1 - {parent})"
+    return f"""{name}_sums AS (SELECT sum(n * ({p} - {parent}) * ({p} - {parent}) - {v}) AS s, sum({v} * (n - 1)) AS w FROM {groups} WHERE n > 0),
+{name} AS (SELECT CASE WHEN w IS NULL OR w = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / least(greatest(s / w, 1.0::DOUBLE / 1001), 0.5::DOUBLE) - 1 END AS m FROM {name}_sums)"""
+
+
+def _mean(parent: str) -> str:
+    return f"(good + m * {parent}) / ((good + m * {parent}) + (n - good + m * (1 - {parent})))"
+
+
+def _urls_sql() -> str:
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for h, p, _ in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    )
+    verdicts = " ".join(f"WHEN '{h + p}' THEN '{v}'" for h, p, v in RULES)
+    two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+    return f"""WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+raw AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM rest),
+split AS (SELECT page_id, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM raw),
+ruled AS (SELECT *, CASE {fits} END AS rule FROM split),
+outcomes AS (SELECT r.host, l.quality AS good FROM ruled r JOIN labels l ON l.doc_id = TRY_CAST(nullif(regexp_extract(r.path, '^/[a-z]+/([0-9]{{1,18}})', 1), '') AS BIGINT) WHERE l.quality IN (0, 1)),
+counted AS (SELECT host, CAST(sum(good) AS BIGINT) AS good, count(*) AS n FROM outcomes GROUP BY host),
+named AS (SELECT host, coalesce(good, 0) AS good, coalesce(n, 0) AS n, regexp_replace(host, ':[0-9]*$', '') AS name
+          FROM (SELECT DISTINCT host FROM ruled WHERE rule IS NULL) h FULL JOIN counted USING (host)),
+labelled AS (SELECT *, string_split(name, '.') AS x, array_to_string(string_split(name, '.')[-2:], '.') AS last2 FROM named),
+every AS (SELECT host, good, n,
+    CASE WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN name WHEN last2 IN ({two}) THEN array_to_string(x[-3:], '.') ELSE last2 END AS domain,
+    CASE WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN '(address)' WHEN last2 IN ({two}) THEN last2 ELSE x[-1] END AS suffix FROM labelled),
+total AS (SELECT CASE WHEN sum(n) > 0 THEN CAST(sum(good) AS DOUBLE) / sum(n) ELSE 0.5::DOUBLE END AS overall FROM every),
+by_suffix AS (SELECT suffix, sum(good) AS good, sum(n) AS n, any_value(overall) AS overall FROM every, total GROUP BY suffix),
+{_strength('m1', 'by_suffix', 'overall')},
+suffixes AS (SELECT suffix, {_mean('overall')} AS of_suffix FROM by_suffix, m1),
+by_domain AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n, any_value(of_suffix) AS of_suffix FROM every JOIN suffixes USING (suffix) GROUP BY domain, suffix),
+{_strength('m2', 'by_domain', 'of_suffix')},
+domains AS (SELECT domain, suffix, {_mean('of_suffix')} AS of_domain FROM by_domain, m2),
+by_host AS (SELECT host, good, n, of_domain FROM every JOIN domains USING (domain, suffix)),
+{_strength('m3', 'by_host', 'of_domain')},
+beta AS (SELECT host, good + m * of_domain AS a, n - good + m * (1 - of_domain) AS b FROM by_host, m3),
+known AS (SELECT host, CASE WHEN a / (a + b) - 1.6448536269514722 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) >= 0.75 THEN 'allow' ELSE 'block' END AS verdict FROM beta)
+SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE known.verdict END AS verdict FROM ruled LEFT JOIN known USING (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op8 alone: the others hash, compress, tokenise, search or learn what SQL cannot."""
+    return {"op8_urls": _urls_sql()}

@@ -72,14 +72,14 @@ def _strength(groups: DataFrame, parent: str, most: float = 1000.0) -> float:
 
 
 def reputation(outcomes: DataFrame, hosts: DataFrame | None = None, least: float = 0.75, z: float = 1.6448536269514722) -> DataFrame:
-    """``host, n, good, mean, bound, verdict`` for every host of ``hosts`` (all of the outcomes' by default).
+    """``host, n, good, mean, bound, verdict`` for every host of ``hosts`` and of the outcomes.
 
     outcomes: ``host, good`` (1 or 0) for each labelled page.  The bound is the
     posterior mean less ``z`` standard deviations.  Counts for each host are stored
     once; the overall rate and a weight for each level are all that reaches the driver.
     """
     counted = outcomes.where(F.col("good").isin(0, 1) & F.col("host").isNotNull()).groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n"))
-    every = counted if hosts is None else hosts.select("host").distinct().join(counted, "host", "left").na.fill(0, ["good", "n"])
+    every = counted if hosts is None else hosts.select("host").distinct().join(counted, "host", "full_outer").na.fill(0, ["good", "n"])
     _, domain, suffix = _levels(F.col("host"))
     every = stored(every.select("host", "good", "n", domain.alias("domain"), suffix.alias("suffix")), "host-counts")
     good, n = every.agg(F.sum("good"), F.sum("n")).first()

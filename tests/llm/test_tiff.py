@@ -1,0 +1,78 @@
+import hashlib
+import itertools
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from keyloom.llm import queries, tiff
+
+BYTES = st.one_of(st.binary(max_size=3000), st.binary(min_size=1, max_size=4).map(lambda b: b * 900))
+
+
+@given(BYTES)
+@settings(deadline=None)
+def test_codecs_round_trip(data):
+    assert tiff.unpack_bits(tiff.pack_bits(data)) == data
+    assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+
+
+def test_lzw_at_every_table_size():
+    data = np.random.default_rng(5).integers(0, 256, 40_000).astype(np.uint8).tobytes()
+    for n in [*range(0, 5000, 7), len(data)]:
+        assert tiff.lzw_decode(tiff.lzw_encode(data[:n])) == data[:n]
+
+
+def test_known_packbits():
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    assert tiff.unpack_bits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22") + b"\xaa" * 10
+
+
+FORMS = list(itertools.product((tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE), (1, 2), (None, (32, 16)), "<>", (False, True), (1, 3), (np.uint8, np.uint16)))
+
+
+@pytest.mark.parametrize("form", FORMS[::5])
+def test_pages_round_trip(form):
+    compression, predictor, tile, order, separate, planes, kind = form
+    rng = np.random.default_rng(2)
+    images = [rng.integers(0, 9, (50, 70, planes)).astype(kind), (np.arange(33 * 17 * planes) % 251).reshape(33, 17, planes).astype(kind)]
+    found = list(tiff.pages(tiff.write(images, compression, predictor, 7, tile, order, separate)))
+    assert [p.data for p in found] == [a.tobytes() for a in images]
+    assert [(p.width, p.height, p.samples_per_pixel) for p in found] == [(70, 50, planes), (17, 33, planes)]
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_floating_point_predictor(order):
+    image = np.random.default_rng(1).normal(size=(20, 30, 2)).astype("<f4")
+    assert next(tiff.pages(tiff.write([image], tiff.DEFLATE, 3, 7, None, order))).data == image.tobytes()
+
+
+def test_a_row_for_each_page_and_errors(spark):
+    one, two = (np.arange(64, dtype=np.uint8).reshape(8, 8), np.ones((4, 16), dtype=np.uint8))
+    good = tiff.write([one, two])
+    loop = bytearray(good)
+    at = int.from_bytes(good[4:8], "little")
+    n = int.from_bytes(good[at : at + 2], "little")
+    loop[at + 2 + 12 * n : at + 6 + 12 * n] = good[4:8]
+    rows = [(1, bytearray(good), 7), (2, bytearray(b"no tiff"), 7), (3, None, 7), (4, bytearray(), 7), (None, bytearray(good[: len(good) // 2]), 7), (6, loop, 7)]
+    df = tiff.with_pages(spark.createDataFrame(rows, "doc_id long, media binary, width int"))
+    got = df.collect()
+    assert [(r.page, r.n_pages, r.width, r.height) for r in got if r.doc_id == 1] == [(0, 2, 8, 8), (1, 2, 16, 4)]
+    assert [bytes(r.samples) for r in got if r.doc_id == 1] == [one.tobytes(), two.tobytes()]
+    assert {r.doc_id for r in got if r.error} == {2, None, 6}
+    assert not [r for r in got if r.doc_id in (3, 4)]
+    assert tiff.with_pages(df.sparkSession.createDataFrame([], "media binary")).count() == 0
+
+
+def test_query_digest(spark, tmp_path):
+    texts = ["", None, "a", "x" * 64, "é" * 5000, "same", "same", "line\n" * 300_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_tiff(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        p = raw + bytes(64 * max(1, -(-len(raw) // 64)) - len(raw))
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert len(got[i].media_sha256) == 64 and len(got[i].feature) == 16
+    assert got[5][1:] == got[6][1:]
