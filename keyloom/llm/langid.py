@@ -36,12 +36,12 @@ HASH_BITS = 18
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: its script's number (0: no letter, 1: other), and its lower case."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: its script's number (0: no letter or mark, 1: other), its lower case, and whether it is a letter, not a mark."""
     points = np.arange(0x110000, dtype=np.uint32)
     script = np.zeros(0x110000, dtype=np.uint8)
-    letter = np.array([0xD800 > p or p > 0xDFFF for p in range(0x110000)])
-    letter &= np.fromiter((unicodedata.category(chr(p))[0] in "LM" for p in range(0x110000)), dtype=bool, count=0x110000)
+    kind = np.fromiter((ord(unicodedata.category(chr(p))[0]) for p in range(0x110000)), dtype=np.uint8, count=0x110000)
+    letter = (kind == ord("L")) | (kind == ord("M"))
     script[letter] = 1
     for lo, hi, name in SCRIPTS:
         part = script[lo : hi + 1]
@@ -51,7 +51,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         low = chr(p).lower()
         if len(low) == 1:
             lower[p] = ord(low)
-    return script, lower
+    return script, lower, kind == ord("L")
 
 
 NAMES = ["", "other", *dict.fromkeys(s for _, _, s in SCRIPTS)]
@@ -59,8 +59,12 @@ NAMES = ["", "other", *dict.fromkeys(s for _, _, s in SCRIPTS)]
 
 @dataclass
 class Words:
-    """The words of some texts, side by side: bounds in their text, script, and hashes of each letter's n-grams."""
+    """The words of some texts, side by side: bounds in their text, script, and hashes of each letter's n-grams.
 
+    Marks belong to words; ``lettered`` is false for a text that has no letter besides.
+    """
+
+    lettered: np.ndarray
     first: np.ndarray
     last: np.ndarray
     doc: np.ndarray
@@ -70,7 +74,7 @@ class Words:
 
 
 def words_of(given: list[str | None]) -> Words:
-    script_table, lower = _tables()
+    script_table, lower, is_letter = _tables()
     encoded = [(t or "").encode("utf-32-le", "surrogatepass") for t in given]
     sizes = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
     points = np.frombuffer(b"\0\0\0\0" + b"\0\0\0\0".join(encoded) + b"\0\0\0\0\0\0\0\0", dtype=np.uint32)
@@ -90,7 +94,9 @@ def words_of(given: list[str | None]) -> Words:
     four = np.where(letter[at + 1], (three ^ (three >> np.uint32(11))) * np.uint32(0x9E3779B1) + e * np.uint32(0x85EBCA6B), (one ^ np.uint32(0x5BD1E995)) * np.uint32(0xCC9E2D51))
     shift = np.uint32(32 - HASH_BITS)
     hashes = [((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift for h in (one, two, three, four)]
-    return Words(first - begins[doc], last - begins[doc], doc, script[first], starts, hashes)
+    lettered = np.zeros(len(given), dtype=bool)
+    lettered[doc[np.add.reduceat(is_letter[points[at]].astype(np.int64), starts) > 0] if len(starts) else doc] = True
+    return Words(lettered, first - begins[doc], last - begins[doc], doc, script[first], starts, hashes)
 
 
 @dataclass(frozen=True)
@@ -170,11 +176,14 @@ class Labeller:
         row = np.arange(len(has))
         score = letters[row, best] / letters.sum(1) * np.maximum(1 / n, evidence[row, best] / evidence.sum(1))
         for d, b, x in zip(has.tolist(), best.tolist(), score.tolist()):
-            langs[d], scores[d] = self.model.languages[b], x
+            if words.lettered[d]:
+                langs[d], scores[d] = self.model.languages[b], x
         if spans:
             new = np.flatnonzero(np.concatenate([[True], (np.diff(path) != 0) | (np.diff(words.doc) != 0)]))
             last = np.concatenate([new[1:], [len(path)]]) - 1
             for d, a, b, k in zip(words.doc[new].tolist(), words.first[new].tolist(), words.last[last].tolist(), path[new].tolist()):
+                if not words.lettered[d]:
+                    continue
                 found[d].append({"start": a, "end": b, "lang": self.model.languages[k]})
         return langs, scores, found
 

@@ -104,7 +104,7 @@ def suffix_order(block: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for i in range(7):  # nine bits each: bytes are moved up by one and 0 ends a segment
         key = (key << np.uint64(9)) | wide[i : i + n]
-    order, known = np.argsort(key, kind="stable"), 7
+    order, known = np.argsort(key), 7
     while True:
         ordered = key[order]
         rank = np.empty(n, dtype=np.uint64)
@@ -114,35 +114,40 @@ def suffix_order(block: np.ndarray, depth: int) -> np.ndarray:
         later = np.zeros(n, dtype=np.uint64)
         later[: n - known] = rank[known:] + np.uint64(1)
         key = (rank << np.uint64(32)) | later
-        order, known = np.argsort(key, kind="stable"), known * 2
+        order, known = np.argsort(key), known * 2
 
 
 def repeated_neighbours(block: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For j in 1..n-1: whether the suffixes at j - 1 and j of the order share ``length`` symbols.
 
     Interval expansion: the interval of a string w of l symbols is extended to the
-    left by each symbol c.  If the right end of cw's interval has no value yet, the
-    common prefix there has exactly l symbols, and cw is expanded in the next round.
+    left by each symbol c before w.  If the right end of cw's interval has no value
+    yet, the common prefix there has exactly l symbols, and cw is expanded in the next
+    round.  A round walks the rows of its intervals, which are disjoint: the rows that
+    one symbol precedes map to an interval of their own, from the first to the last of
+    them, so sorted first and last images pair up.
     """
     n = len(block)
-    symbols, coded = np.unique(block, return_inverse=True)
-    bwt = coded[order - 1]  # the text is taken as a circle
-    sigma = len(symbols)
-    occ = np.zeros((n + 1, sigma), dtype=np.int32)
-    occ[np.arange(1, n + 1), bwt] = 1
-    np.cumsum(occ, axis=0, out=occ)
-    start = np.concatenate([[0], np.cumsum(occ[n])[:-1]]).astype(np.int32)
+    bwt = block[order - 1]  # the text is taken as a circle
+    row = np.argsort(bwt, kind="stable")
+    image = np.empty(n, dtype=np.int64)
+    image[row] = np.arange(n)
+    change = bwt[row[1:]] != bwt[row[:-1]]
+    before, after = np.full(n, -1, dtype=np.int64), np.full(n, n, dtype=np.int64)  # rows that the same symbol precedes
+    before[row[1:]] = np.where(change, -1, row[:-1])
+    after[row[:-1]] = np.where(change, n, row[1:])
     unknown = np.ones(n + 1, dtype=bool)
     unknown[0] = unknown[n] = False
     lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
     for _ in range(length):
-        left, right = occ[lo] + start, occ[hi] + start
-        new = (left < right) & unknown[right]
+        size = hi - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        left = np.sort(image[at[before[at] < np.repeat(lo, size)]])
+        right = np.sort(image[at[after[at] >= np.repeat(hi, size)]]) + 1
+        new = unknown[right]
         if not new.any():
             break
-        lo, hi = left[new].astype(np.int64), right[new].astype(np.int64)
-        hi, first = np.unique(hi, return_index=True)
-        lo = lo[first]
+        lo, hi = left[new], right[new]
         unknown[hi] = False
     return unknown[1:n]
 
