@@ -8,10 +8,11 @@ shingle sets themselves.
 
 Documents with equal shingle sets are one node, so copies make no pairs.  In a
 bucket of at most ``FEW`` nodes, pairs are candidates; in a larger one each node is
-compared with the hub, the node nearest to the bitwise majority of the fingerprints,
-and nodes that the hub doesn't link are compared with the whole bucket.  Links inside
-a class that the hub has joined already are not needed for the classes, so none is
-lost.  Candidates whose one-bit min-wise sketches differ by far more than the
+compared with the hub, the node nearest to the bitwise majority of the fingerprints.
+Nodes that are then outside the bucket's main class are compared with some ``PIVOTS``
+members of it, in rounds of more and more; those that are outside to the end are
+compared with every member of another class.  Links inside a class are not needed for
+the classes, so none is lost.  Candidates whose min-wise sketches (256 of four bits) differ by far more than the
 similarity allows (3.4 deviations) are not verified.
 
 Nulls, empty texts and white space have the empty set, and are copies of one
@@ -21,6 +22,8 @@ in both are one.  A null key sorts first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,6 +36,8 @@ from keyloom.llm.simhash import _signed, fingerprint, masks, shingle_hashes
 
 BANDS, ROWS, SKETCH = 20, 5, 256
 FEW = 24
+#: Members of a large bucket's main class that the nodes outside it are compared with first; sixteen times as many in each further round.
+PIVOTS = 32
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,21 +55,24 @@ def minima(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray], block: i
 
 
 def sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """``key, th`` (of the row), ``node`` (of its shingle set), ``fp``, ``s0..s3`` (one-bit sketch) and ``bands``."""
-    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("th long, node long, fp long, s0 long, s1 long, s2 long, s3 long, bands array<long>").fields])
+    """``key, th`` (of the row), ``node`` (of its shingle set), ``fp``, ``sketch`` (four bits of each minimum) and ``keys`` (of its buckets, by table)."""
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("th long, node long, fp long, sketch array<long>, keys array<long>").fields])
 
     def make():
-        family = _family(SKETCH)
+        family, covering = _family(SKETCH), masks(2)
+        places = np.arange(0, 64, 4, dtype=np.uint64)
 
         def each(batch):
             rows = []
             for t in texts(batch, text):
                 h = shingle_hashes(t, shingle)
+                fp = fingerprint(h)
                 s = np.unique(h)
                 low = minima(s, family)
-                bits = np.packbits((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63) > 0, bitorder="little").view(np.int64).tolist()
+                four = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
+                sketch = np.bitwise_or.reduce(four.reshape(-1, 16) << places, axis=1).view(np.int64).tolist()
                 bands = [xxhash.xxh3_64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)]
-                rows.append((_signed(xxhash.xxh3_64_intdigest(t)), _signed(xxhash.xxh3_64_intdigest(s.tobytes())), fingerprint(h), *bits, list(map(_signed, bands))))
+                rows.append((_signed(xxhash.xxh3_64_intdigest(t)), _signed(xxhash.xxh3_64_intdigest(s.tobytes())), fp, sketch, [*map(_signed, bands), *(fp & _signed(m) for m in covering)]))
             yield {key: batch.column(batch.schema.get_field_index(key))} | {f.name: [r[k] for r in rows] for k, f in enumerate(schema.fields[1:])}
 
         return each
@@ -87,50 +95,74 @@ def shingle_sets(docs: DataFrame, shingle: int, text: str) -> DataFrame:
 
 def _plausible(least: float) -> Column:
     """Whether two sketches may come from sets of that similarity."""
-    p = (1 - least) / 2
+    p = (1 - least) * 15 / 16
     most = int(SKETCH * p + 3.4 * (SKETCH * p * (1 - p)) ** 0.5)
-    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    differ = F.lit(0)
+    for i in range(SKETCH // 16):
+        z = F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])
+        z = z.bitwiseOR(F.shiftright(z, 1))
+        differ += F.bit_count(z.bitwiseOR(F.shiftright(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
     return differ <= most
 
 
-def _candidates(x: DataFrame, y: DataFrame, least: float, order: bool) -> DataFrame:
-    condition = (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & _plausible(least)
-    condition &= F.col("x.node") < F.col("y.node") if order else F.col("x.node") != F.col("y.node")
-    pair = x.alias("x").join(y.alias("y"), condition)
+def _first_shared() -> Column:
+    """Whether no table before this one has the two in one bucket."""
+    return F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.t") + 1
+
+
+def _candidates(x: DataFrame, y: DataFrame, least: float, *which: Column) -> DataFrame:
+    """Distinct plausible pairs (a < b) within the buckets for which ``which`` holds."""
+    which = reduce(Column.__and__, [which[0], _plausible(least), *which[1:]])
+    pair = x.alias("x").join(y.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & which)
     return pair.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text", few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, ``node, component`` for the nodes that have a link)."""
     rows = stored(sketches(docs, shingle, key, text), "sketches")
-    nodes = stored(rows.drop(key).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "s0", "s1", "s2", "s3", "bands")], F.min("th").alias("th")), "nodes")
-    tables = [F.struct(F.lit(t).alias("t"), F.col("bands")[t].alias("k")) for t in range(BANDS)]
-    tables += [F.struct(F.lit(BANDS + t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks(2))]
-    keyed = nodes.select("node", F.explode(F.array(*tables)).alias("x")).select("node", "x.t", "x.k")
+    nodes = stored(rows.drop(key).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "keys")], F.min("th").alias("th")), "nodes")
+    keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["t", "k"]).join(nodes.select("node", "fp", "s0", "s1", "s2", "s3"), "node")
+    shared = keyed.join(sizes, ["t", "k"]).join(nodes.select("node", "fp", "sketch", "keys"), "node")
     shared = stored(shared, "near-buckets")
     small, large = shared.where(F.col("n") <= few), shared.where(F.col("n") > few)
     majority = large.groupBy("t", "k").agg(F.count("*").alias("m"), *[F.sum(F.shiftright("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)])
     centre = sum((F.when(F.col(f"b{i}") * 2 > F.col("m"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(64)), F.lit(0).cast("long"))
     centres = majority.select("t", "k", centre.alias("centre"))
-    hubs = large.join(centres, ["t", "k"]).groupBy("t", "k").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "node", "s0", "s1", "s2", "s3")).alias("hub")).select("t", "k", "hub.*")
+    hubs = large.join(centres, ["t", "k"]).groupBy("t", "k").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "node", "sketch")).alias("hub")).select("t", "k", "hub.*")
     hubs = stored(hubs, "hubs")
-    pairs = _candidates(small, small, least, True).unionByName(_candidates(hubs, large, least, False)).distinct()
+    pairs = _candidates(small, small, least, F.col("x.node") < F.col("y.node")).unionByName(_candidates(hubs, large, least, F.col("x.node") != F.col("y.node")))
     given = docs.select(F.col(text).alias("_text"), key)
-    links = stored(verified(pairs, given, rows, nodes, shingle, least, key), "verified")
-    joined = links.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("hub"), F.col("a").alias("node")))
-    reached = hubs.select("t", "k", F.col("node").alias("hub")).join(joined, "hub").select("t", "k", "node").unionByName(hubs.select("t", "k", "node"))
-    rest = stored(large.join(reached, ["t", "k", "node"], "left_anti"), "unreached")
-    if rest.isEmpty():
-        return rows, components(links)
-    more = _candidates(rest, large, least, False).join(pairs, ["a", "b"], "left_anti")
-    return rows, components(links.unionByName(verified(more, given, rows, nodes, shingle, least, key)))
+    tried = stored(pairs.distinct(), "near-pairs")
+    links = stored(verified(tried, given, rows, nodes, shingle, least, key), "verified")
+    found = components(links)
+    most, asked = large.agg(F.max("n")).first()[0] or 0, PIVOTS
+    outside = None
+    while most:
+        named = large.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        main = named.groupBy("t", "k", "c").count().groupBy("t", "k").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        named = stored(named.join(main, ["t", "k"]), "bucket-components")
+        rest, before = named.where("c != main"), outside
+        outside = rest.count()
+        if not outside:
+            break
+        last = asked >= most or before is not None and outside > 0.9 * before  # more members hardly help: what is left is alone
+        if last:
+            apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+            more = _candidates(rest, named, least, apart, _first_shared())
+        else:
+            more = _candidates(rest, named.where((F.col("c") == F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("n")) < asked)), least, F.lit(True))
+        more = stored(more.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        links = stored(links.unionByName(verified(more, given, rows, nodes, shingle, least, key)), "verified")
+        found = components(links)
+        if last:
+            break
+        tried, asked = tried.unionByName(more), asked * 16
+    return rows, found
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, least: float, key: str) -> DataFrame:
-    """The pairs of nodes whose shingle sets are at least that similar.  Only texts of such nodes are read again, one for each node."""
-    pairs = stored(pairs, "near-pairs")
+    """The (stored) pairs of nodes whose shingle sets are at least that similar.  Only texts of such nodes are read again, one for each node."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     places = rows.join(nodes.select("node", F.col("th").alias("_th")), "node").where("th = _th").join(wanted, "node", "left_semi")
     places = places.groupBy("node").agg(F.min(F.struct(key, "th")).alias("p")).select(F.col(f"p.{key}").alias("_key")).distinct()
