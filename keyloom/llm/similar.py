@@ -153,8 +153,10 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "d
         else:
             more = _candidates(rest, named.where((F.col("c") == F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("n")) < asked)), least, F.lit(True))
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        links = stored(links.unionByName(verified(more, given, rows, nodes, shingle, least, key)), "verified")
-        found = components(links)
+        new = stored(verified(more, given, rows, nodes, shingle, least, key), "verified")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links)
         if last:
             break
         tried, asked = tried.unionByName(more), asked * 16
