@@ -3,7 +3,7 @@
 Sixty-four bits of SimHash put a similarity of 0.8 some ten bits apart, too far for
 covering masks of useful width.  So candidates come from the covering tables (all
 pairs within two bits) and, besides, from bands of min-wise hashes, which find a
-similarity of 0.8 with a probability of 0.9997.  Every link is then verified on the
+similarity of 0.8 with a probability of 0.9996.  Every link is then verified on the
 shingle sets themselves.
 
 Documents with equal shingle sets are one node, so copies make no pairs.  In a
@@ -12,8 +12,9 @@ compared with the hub, the node nearest to the bitwise majority of the fingerpri
 Nodes that are then outside the bucket's main class are compared with some ``PIVOTS``
 members of it, in rounds of more and more; those that are outside to the end are
 compared with every member of another class.  Links inside a class are not needed for
-the classes, so none is lost.  Candidates whose min-wise sketches (256 of four bits) differ by far more than the
-similarity allows (3.4 deviations) are not verified.
+the classes, so none is lost.  Candidates whose min-wise sketches (256 of four bits) differ in
+more places than a pair of that similarity does with a probability of ``LOST`` are not
+verified: they are further apart, but for one such pair in 10^12.
 
 Nulls, empty texts and white space have the empty set, and are copies of one
 another.  Of a class the row with the smallest key (then text hash) stays; rows equal
@@ -23,6 +24,7 @@ in both are one.  A null key sorts first.
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 
 import numpy as np
 import xxhash
@@ -38,6 +40,8 @@ BANDS, ROWS, SKETCH = 20, 5, 256
 FEW = 24
 #: Members of a large bucket's main class that the nodes outside it are compared with first; sixteen times as many in each further round.
 PIVOTS = 32
+#: The probability that a pair of just the similarity asked for is dropped by its sketches, not verified.
+LOST = 1e-12
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +97,19 @@ def shingle_sets(docs: DataFrame, shingle: int, text: str) -> DataFrame:
     return in_batches(docs.select(text), "node long, shingles array<long>", make)
 
 
+def _most(least: float) -> int:
+    """The least number of places that sketches of sets of that similarity exceed with a probability of at most ``LOST``."""
+    p, beyond = (1 - least) * 15 / 16, 0.0
+    for n in range(SKETCH, 0, -1):
+        beyond += comb(SKETCH, n) * p**n * (1 - p) ** (SKETCH - n)
+        if beyond > LOST:
+            return n
+    return 0
+
+
 def _plausible(least: float) -> Column:
     """Whether two sketches may come from sets of that similarity."""
-    p = (1 - least) * 15 / 16
-    most = int(SKETCH * p + 3.4 * (SKETCH * p * (1 - p)) ** 0.5)
+    most = _most(least)
     differ = F.lit(0)
     for i in range(SKETCH // 16):
         z = F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])

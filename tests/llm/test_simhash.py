@@ -126,3 +126,11 @@ def test_one_of_each_keeps_one_of_equal_rows(spark):
     got = sorted(((r.doc_id, r.text) for r in similar.one_of_each(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(1, text), (None, "a b c d e f"), (3, None)], key=str)
     assert similar.one_of_each(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", [4627, 5641])
+def test_one_of_each_verifies_pairs_whose_sketches_differ_much(spark, seed):
+    w = [f"{seed}.{i}" for i in range(49)]  # 40 of 50 shingles are common; the sketches differ in 70 places
+    rows = [(1, " ".join(w)), (2, " ".join(w[:44] + [f"e{i}" for i in range(5)]))]
+    assert jaccard_classes(rows) == {1}
+    assert [r.doc_id for r in similar.one_of_each(docs(spark, rows)).collect()] == [1]
