@@ -5,8 +5,10 @@ uncompressed, PackBits, LZW and deflate strips or tiles, undoes the horizontal
 (2) and floating-point (3) predictors, and joins planes.  The writer makes the
 same kinds, so every decoder has an exact round trip to be tested with.
 
-Null and empty media have no page.  A file that is not a readable TIFF gives one
-row whose ``error`` says why, and null samples.  Equal files give equal rows.
+Depths are 1, 2, 4, 8, 16, 32 and 64 bits; samples under 8 bits come out as bytes.
+Null and empty media have no page.  A page that cannot be read, and a chain that
+breaks off, gives one row whose ``error`` says why, and null samples; the pages before
+and after it are given.  ``n_pages`` counts the pages that were read.  Equal files give equal rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ class TiffError(ValueError):
     pass
 
 
+#: What damaged bytes raise: ours, the decoders', and those of senseless sizes.
+DAMAGE = (ValueError, IndexError, TypeError, ZeroDivisionError, MemoryError, zlib.error, struct.error)
+#: Each byte with its bits in the other order.
+_MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 @dataclass
 class Page:
     width: int
@@ -38,7 +46,7 @@ class Page:
     samples_per_pixel: int
     bits: int
     compression: int
-    data: bytes  # rows from the top, samples of a pixel together, in the machine's (little-endian) order
+    data: bytes  # rows from the top, samples of a pixel together, in the machine's (little-endian) order; a byte for each of 1, 2 or 4 bits
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -156,6 +164,15 @@ _ENCODERS = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw_encode, DEFLATE: lambda
 
 def _undo(data: bytes, predictor: int, width: int, rows: int, planes: int, bits: int, order: str) -> np.ndarray:
     """Samples of a strip or tile as rows x width x planes, in native order."""
+    if bits in (1, 2, 4):
+        if predictor != 1:
+            raise TiffError(f"predictor {predictor} of {bits} bits a sample")
+        line = -(-width * planes * bits // 8)  # a row begins with a byte
+        if len(data) < line * rows:
+            raise TiffError(f"a strip or tile has {len(data)} bytes of {line * rows}")
+        packed = np.frombuffer(data, dtype=np.uint8, count=line * rows).reshape(rows, line, 1)
+        samples = packed >> np.arange(8 - bits, -1, -bits, dtype=np.uint8) & np.uint8((1 << bits) - 1)
+        return samples.reshape(rows, -1)[:, : width * planes].reshape(rows, width, planes)
     if bits not in (8, 16, 32, 64):
         raise TiffError(f"{bits} bits a sample")
     kind = np.dtype(f"{order}u{bits // 8}")
@@ -199,7 +216,26 @@ def _directory(media: bytes, at: int, order: str) -> tuple[dict[int, tuple], int
 
 
 def pages(media: bytes) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories.  A chain that loops is an error."""
+    """The pages of a file, in the order of its directories.  A chain that loops is an error, as is a page that cannot be read."""
+    for page in attempts(media):
+        if isinstance(page, Exception):
+            raise page
+        yield page
+
+
+def attempts(media: bytes) -> Iterator[Page | Exception]:
+    """The pages of a file; in place of one that cannot be read, or of the rest of a broken chain, the error."""
+    try:
+        for tags, order in _chain(media):
+            try:
+                yield _page(media, tags, order)
+            except DAMAGE as e:
+                yield e
+    except DAMAGE as e:
+        yield e
+
+
+def _chain(media: bytes) -> Iterator[tuple[dict[int, tuple], str]]:
     if media[:4] == b"II*\0":
         order = "<"
     elif media[:4] == b"MM\0*":
@@ -213,7 +249,7 @@ def pages(media: bytes) -> Iterator[Page]:
             raise TiffError("the directories form a loop")
         seen.add(at)
         tags, at = _directory(media, at, order)
-        yield _page(media, tags, order)
+        yield tags, order
 
 
 def _page(media: bytes, tags: dict[int, tuple], order: str) -> Page:
@@ -227,7 +263,7 @@ def _page(media: bytes, tags: dict[int, tuple], order: str) -> Page:
     if compression not in _DECODERS:
         raise TiffError(f"compression {compression}")
     separate = one(284, 1) == 2 and planes > 1
-    kind = np.dtype(f"<u{bits // 8}") if bits in (8, 16, 32, 64) else None
+    kind = np.dtype(f"<u{max(8, bits) // 8}") if bits in (1, 2, 4, 8, 16, 32, 64) else None
     if kind is None:
         raise TiffError(f"{bits} bits a sample")
     tiled = 322 in tags
@@ -244,7 +280,8 @@ def _page(media: bytes, tags: dict[int, tuple], order: str) -> Page:
         rows = h if tiled else min(h, height - y)
         if starts[k] + sizes[k] > len(media):
             raise TiffError("a strip or tile lies beyond the end")
-        raw = _DECODERS[compression](media[starts[k] : starts[k] + sizes[k]])
+        packed = media[starts[k] : starts[k] + sizes[k]]
+        raw = _DECODERS[compression](packed.translate(_MIRRORED) if bits < 8 and one(266, 1) == 2 else packed)
         part = _undo(raw, predictor, w, rows, 1 if separate else planes, bits, order)[: height - y, : width - x]
         image[y : y + rows, x : x + w, plane : plane + 1 if separate else planes] = part
     return Page(width, height, planes, bits, compression, image.tobytes())
@@ -326,12 +363,11 @@ def with_pages(df: DataFrame, media: str = "media", keep: list[str] | None = Non
             for i, raw in enumerate(texts(batch, media)):
                 if not raw:
                     continue
-                try:
-                    mine = list(pages(raw))
-                    found += [(k, len(mine), p.width, p.height, p.samples_per_pixel, p.bits, p.compression, p.data, None) for k, p in enumerate(mine)]
-                except (TiffError, zlib.error, struct.error) as e:
-                    mine = [None]
-                    found.append((0, 0, None, None, None, None, None, None, str(e)))
+                mine = list(attempts(raw))
+                n = sum(isinstance(p, Page) for p in mine)
+                for k, p in enumerate(mine):
+                    bad = isinstance(p, Exception)
+                    found.append((k, n, *([None] * 6), str(p) or type(p).__name__) if bad else (k, n, p.width, p.height, p.samples_per_pixel, p.bits, p.compression, p.data, None))
                 rows += [i] * len(mine)
             if rows:
                 yield {c: batch.column(batch.schema.get_field_index(c)).take(rows) for c in kept} | {f.name: [x[k] for x in found] for k, f in enumerate(fields)}

@@ -76,3 +76,31 @@ def test_query_digest(spark, tmp_path):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert len(got[i].media_sha256) == 64 and len(got[i].feature) == 16
     assert got[5][1:] == got[6][1:]
+
+
+def test_pages_around_a_damaged_one(spark):
+    images = [np.full((8, 8), i, dtype=np.uint8) for i in range(3)]
+    media = bytearray(tiff.write(images))
+    at = int.from_bytes(media[4:8], "little")
+    n = int.from_bytes(media[at : at + 2], "little")
+    second = int.from_bytes(media[at + 2 + 12 * n : at + 6 + 12 * n], "little")
+    place = next(p for p in range(second + 2, second + 2 + 12 * n, 12) if media[p : p + 2] == b"\x03\x01")
+    media[place + 8 : place + 10] = (777).to_bytes(2, "little")  # an unknown compression
+    got = tiff.with_pages(spark.createDataFrame([(1, media)], "doc_id long, media binary")).collect()
+    assert [(r.page, r.n_pages, r.samples and bytes(r.samples), r.error) for r in got] == [(0, 2, images[0].tobytes(), None), (1, 2, None, "compression 777"), (2, 2, images[2].tobytes(), None)]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.PACKBITS])
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_samples_of_less_than_a_byte(bits, compression, mirrored):
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (5, 13)).astype(np.uint8)
+    padded = np.pad(image, ((0, 0), (0, -13 % (8 // bits))))
+    line = np.packbits(np.unpackbits(padded[:, :, None], axis=2)[:, :, 8 - bits :].reshape(5, -1), axis=1)
+    raw = tiff._ENCODERS[compression](line.tobytes())
+    raw = bytes(int(f"{b:08b}"[::-1], 2) for b in raw) if mirrored else raw
+    tags = [(256, 13), (257, 5), (258, bits), (259, compression), (262, 1), (266, 2 if mirrored else 1), (273, 8), (277, 1), (278, 5), (279, len(raw))]
+    directory = len(tags).to_bytes(2, "little") + b"".join(t.to_bytes(2, "little") + b"\x03\0\x01\0\0\0" + v.to_bytes(4, "little") for t, v in tags) + bytes(4)
+    media = b"II*\0" + (8 + len(raw)).to_bytes(4, "little") + raw + directory
+    (page,) = tiff.pages(media)
+    assert (page.bits, page.data) == (bits, image.tobytes())
