@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,25 +87,40 @@ def lines(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str
     return in_batches(given, "conv long, block long, turn long, tie long, line int, text string, symbol int, role string", make)
 
 
-def fit(known: DataFrame, smooth: float = 0.5) -> Model:
-    """From :func:`lines` of rows whose roles are known.  Moves to the next turn number are counted by a join on both, so no conversation is gathered."""
+def _moves(turns: DataFrame, block: int) -> Iterator[tuple[int, int, int]]:
+    """(last, next, count) over neighbouring rows of ``conv, at, first, last``; a null state is a turn of unknown role, and no move."""
+    level = turns
+    while True:
+        several = level.groupBy("conv").count()
+        long = not several.where(F.col("count") > block).isEmpty()
+        group = F.floor(F.col("at") / block) if long else F.lit(0).cast("long")
+        level = level.withColumn("group", group)
+        own = Window.partitionBy("conv", "group").orderBy("at")
+        pairs = level.select("last", F.lead("first").over(own).alias("next")).where("last is not null and next is not null")
+        yield from pairs.groupBy("last", "next").count().collect()
+        if not long:
+            return
+        level = stored(level.groupBy("conv", "group").agg(F.min_by("first", "at").alias("first"), F.max_by("last", "at").alias("last")).withColumnRenamed("group", "at"), "turn-ranges")
+
+
+def fit(known: DataFrame, smooth: float = 0.5, block: int = 256) -> Model:
+    """From :func:`lines` of rows whose roles are known.  Moves to the next turn there is are counted in ranges of ``block`` turn numbers, then between the ranges, so no conversation is gathered."""
     role = F.when(F.col("role") == ROLES[0], 0)
     for i, r in enumerate(ROLES[1:], 1):
         role = role.when(F.col("role") == r, i)
     state = 2 * role + F.when(F.col("line") > 0, 1).otherwise(0)
-    rows = stored(known.where(role.isNotNull()).select("conv", "turn", "line", "symbol", state.cast("int").alias("state")), "known-lines")
+    rows = stored(known.select("conv", "turn", "line", "symbol", state.cast("int").alias("state")), "known-lines")
     emit, move, start = np.full((STATES, SYMBOLS), smooth), np.full((STATES, STATES), smooth), np.full(STATES, smooth)
-    for s, o, n in rows.groupBy("state", "symbol").count().collect():
+    for s, o, n in rows.where("state is not null").groupBy("state", "symbol").count().collect():
         emit[s, o] += n
     turns = rows.groupBy("conv", "turn").agg(F.min_by("state", "line").alias("first"), F.max_by("state", "line").alias("last"), F.max("line").alias("more"))
-    after = turns.select("conv", (F.col("turn") - 1).alias("turn"), F.col("first").alias("next"))
-    for s, t, n in turns.join(after, ["conv", "turn"]).groupBy("last", "next").count().collect():
+    turns = stored(turns, "known-turns")
+    for s, t, n in _moves(turns.select("conv", F.col("turn").alias("at"), "first", "last"), block):
         move[s, t] += n
-    for s, n, more in turns.groupBy("first").agg(F.count("*"), F.sum("more")).collect():
-        if more:
-            move[s, s + 1] += min(more, n)
-            move[s + 1, s + 1] += max(0, more - n)
-    for s, n in turns.groupBy("conv").agg(F.min_by("first", "turn").alias("s")).groupBy("s").count().collect():
+    for s, n, more in turns.where("first is not null and more > 0").groupBy("first").agg(F.count("*"), F.sum("more")).collect():
+        move[s, s + 1] += n
+        move[s + 1, s + 1] += more - n
+    for s, n in turns.groupBy("conv").agg(F.min_by("first", "turn").alias("s")).where("s is not null").groupBy("s").count().collect():
         start[s] += n
     move[:, 1::2] *= np.array([[s // 2 == t for t in range(len(ROLES))] for s in range(STATES)])  # a turn goes on in its own role
     start[1::2] = 0

@@ -67,3 +67,18 @@ def test_odd_rows(spark):
     assert sum(r.n_lines for r in got if r.conv == 3) == 2  # equal rows are one
     empty = tr.lines(df.limit(0), role="role")
     assert tr.turns_of(empty, tr.fit(empty)).count() == 0
+
+
+def test_moves_are_counted_one_by_one(spark):
+    long = "x\n" * 9 + "x"  # one turn of ten lines among turns of one
+    rows = [(1, 0, "user", long), (1, 3, "assistant", "y"), (1, 700, "user", "y"), (1, 701, None, "y"), (1, 702, "assistant", "y"), (2, -5, "user", "y")]
+    given = tr.lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), role="role")
+    user, assistant = (2 * tr.ROLES.index(r) for r in ("user", "assistant"))
+    expected = np.full((tr.STATES, tr.STATES), 0.5)
+    expected[user, user + 1] += 1
+    expected[user + 1, user + 1] += 8
+    expected[user + 1, assistant] += 1
+    expected[assistant, user] += 1
+    expected[:, 1::2] *= np.array([[s // 2 == t for t in range(len(tr.ROLES))] for s in range(tr.STATES)])
+    for block in (256, 2):
+        assert np.allclose(np.exp(tr.fit(given, block=block).move), expected / expected.sum(1, keepdims=True))
