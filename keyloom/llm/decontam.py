@@ -6,9 +6,10 @@ items' pieces are looked up in a document at once with an Aho-Corasick automaton
 A hit proposes a window; Myers' bit-parallel algorithm finds the least edit
 distance of the item to any substring of it.
 
-Both sides are lower-cased and white-space runs become one space.  A null or empty
-item matches nothing, a null or empty document has no match; repeated documents and
-items match alike.  The items are held by every task in blocks of bounded bytes,
+Both sides are lower-cased and white-space runs become one space.  An item of null or
+empty text matches nothing, one of null id as any other: the id of its matches is null,
+and given only if the same text has no id.  A null or empty document has no match; repeated
+documents and items match alike.  The items are held by every task in blocks of bounded bytes,
 one pass over the documents for each block; documents are never shuffled.
 """
 
@@ -128,7 +129,9 @@ def _windows(starts: list[int], length: int, k: int, size: int) -> Iterator[tupl
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of at most ``block_bytes`` (or one item); they reach the driver a partition at a time."""
     block, size = [], 0
-    for row in benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(item, text).distinct().toLocalIterator():
+    given = benchmark.where(F.col(text).isNotNull()).select(item, text).distinct()
+    named, nameless = given.where(F.col(item).isNotNull()), given.where(F.col(item).isNull())
+    for row in named.unionByName(nameless.join(named.select(text), text, "left_anti").select(item, text)).toLocalIterator():
         t = normalised(row[1])
         if not t:
             continue

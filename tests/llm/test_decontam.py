@@ -73,3 +73,11 @@ def test_tables_blocks_and_odd_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in ids), key=str)
     assert decontam.matches(df.limit(0), bench).count() == 0 and decontam.matches(df, bench.limit(0)).count() == 0
     assert decontam.without_matches(df, bench.limit(0)).count() == len(rows)
+
+
+def test_items_without_an_id(spark):
+    item = "which of these rivers flows through four capital cities"
+    bench = spark.createDataFrame([(None, item), (7, "another item of the benchmark, long enough")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"so: {item.upper()}?"), (2, "nothing of the kind")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in decontam.matches(df, bench, 0.08).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontam.without_matches(df, bench, 0.08).collect()] == [2]
