@@ -14,8 +14,8 @@ part, so copies cost nothing, however many.
 Texts: A-Z are lower-cased, words are runs of bytes other than white space, and
 shingles are words joined by a space.  A text of fewer words than a shingle has one
 shingle; a null, an empty text or white space has none, and fingerprint zero, linked
-as any other.  Rows with a null key keep their fingerprint and may take their
-group's component, but never name one.  Repeated keys share rows' components as
+as any other.  Rows with a null key keep their fingerprint, link others and take
+their group's component, but never name one: it is null where all keys are.  Repeated keys share rows' components as
 equal nodes.
 """
 
@@ -118,7 +118,11 @@ def links(distinct: DataFrame, radius: int = 2, pairs: int = PAIRS) -> DataFrame
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fingerprint, component_id`` for every row; the component is the smallest key reachable over links."""
     prints = stored(with_fingerprints(docs.select(*dict.fromkeys([key, text])), shingle, text, keep=[key]), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min(key).alias("node")), "distinct-fingerprints")
-    found = components(links(distinct.where("node is not null"), radius).select("a", "b"))
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    distinct = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct-fingerprints")
+    near = links(distinct.select("fp", F.col("fp").alias("node")), radius).select("a", "b")
+    hubs = distinct.where("least is not null").groupBy("least").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    found = components(near.unionByName(distinct.join(hubs, "least").select(F.col("fp").alias("a"), "b"))).withColumnRenamed("node", "fp")
+    linked = distinct.join(found, "fp", "left")
+    ids = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
+    named = linked.join(ids, "component", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return prints.join(named, "fp").select(key, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")

@@ -134,3 +134,12 @@ def test_one_of_each_verifies_pairs_whose_sketches_differ_much(spark, seed):
     rows = [(1, " ".join(w)), (2, " ".join(w[:44] + [f"e{i}" for i in range(5)]))]
     assert jaccard_classes(rows) == {1}
     assert [r.doc_id for r in similar.one_of_each(docs(spark, rows)).collect()] == [1]
+
+
+def test_fingerprints_of_null_keys_link_others(spark, monkeypatch):
+    prints = {"a": 0, "b": 3, "c": 15, "d": 0xFFFF << 40}
+    rows = [(5, "a"), (None, "b"), (2, "c"), (None, "d")]
+    fake = lambda df, *_, **__: spark.createDataFrame([(i, prints[t]) for i, t in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprints", fake)
+    got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert [got[f"{prints[t]:016x}"] for t in "abcd"] == [2, 2, 2, None]
