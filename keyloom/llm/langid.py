@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import in_batches, values
+from keyloom.llm.common import in_batches, stored, values
 
 #: (first code point, last code point, script); letters outside are "other".
 SCRIPTS = (
@@ -33,6 +33,9 @@ SCRIPTS = (
     (0x3040, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0x20000, 0x2FA1F, "han"),
 )
 HASH_BITS = 18
+#: Languages whose samples are chosen in one plan.
+PLAN = 32
+LETTER = r"\p{L}"
 
 
 @lru_cache(maxsize=1)
@@ -125,21 +128,28 @@ def train(rows: list[tuple[str, str]], script_share: float = 0.01) -> Model:
     return Model(languages, np.ascontiguousarray(logs, dtype=np.float32), allowed)
 
 
-def fit(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 1500, max_languages: int = 512, max_text_bytes: int = 65536) -> Model:
+def fit(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 1500, max_text_bytes: int = 65536) -> Model:
     """Learns from at most ``sample_rows`` rows of each language, those whose key hashes lowest.
 
-    ``max_text_bytes`` bounds one training text, ``max_languages`` the number of
-    languages (the most frequent ones); together they bound what reaches the driver.
+    ``max_text_bytes`` bounds one training text.  Longer texts train nothing, but in a
+    language that has no shorter one, of which parts from the first letter on are taken.  What reaches
+    the driver is bounded for each language; every language with a letter in a text is learned.
     """
-    usable = docs.where(learn_from & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    names = [r[0] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()]
-    ids = None
-    for name in names:
-        part = usable.where((F.col(lang) == name) & (F.octet_length(text) <= max_text_bytes)).select(key).orderBy(F.xxhash64(key), key).limit(sample_rows)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
-        return train([])
-    rows = usable.select(key, lang, text).join(F.broadcast(ids.distinct()), key).where(F.octet_length(text) <= max_text_bytes).select(lang, text).collect()
+    usable = docs.where(learn_from & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(LETTER))
+    short = F.octet_length(text) <= max_text_bytes
+    names = usable.groupBy(lang).agg(F.max(short).alias("short")).orderBy(lang).collect()
+    sizes = usable.select(key, lang, short.alias("short"))
+    if len(names) > PLAN:
+        sizes = stored(sizes, "language-sizes")
+    rows = []
+    for i in range(0, len(names), PLAN):
+        ids = None
+        for name, has_short in names[i : i + PLAN]:
+            part = sizes.where((F.col(lang) == name) & (F.col("short") == has_short)).select(key, lang, "short").orderBy(F.xxhash64(key), key).limit(sample_rows)
+            ids = part if ids is None else ids.unionByName(part)
+        begun = F.when(short, F.col(text)).otherwise(F.substring(F.col(text), F.regexp_instr(F.col(text), F.lit(LETTER)), F.lit(max_text_bytes // 4)))  # a character has four bytes at most
+        given = usable.select(key, lang, short.alias("short"), begun.alias(text))
+        rows += given.join(F.broadcast(ids.distinct()), [key, lang, "short"]).select(lang, text).collect()
     return train([(r[0], r[1]) for r in rows])
 
 

@@ -52,3 +52,13 @@ def test_viterbi_against_brute_force():
         t = table[doc == d]
         score = lambda p: sum(t[i, s] for i, s in enumerate(p)) - 1.5 * sum(x != y for x, y in zip(p, p[1:]))  # noqa: B023, E731
         assert np.isclose(score(got[doc == d]), max(map(score, product(range(3), repeat=len(t)))))
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, text(rng, "en", 20), "en") for i in range(20)] + [(50, "1 2 " * 50_000 + text(rng, "ru", 20_000), "ru"), (51, "", "ru"), (52, text(rng, "de", 20), "de")]
+    rows += [(100 + i, f"{chr(0x0531 + i % 30)}{chr(0x0561 + i // 30)} " * 9, f"x{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    assert set(model.languages) == {r[2] for r in rows}
+    assert langid.Labeller(model).label([text(rng, "ru", 9)])[0] == ["ru"]
