@@ -4,10 +4,10 @@ Two zstandard dictionaries are trained, one from good and one from bad labelled
 texts.  A text is compressed in blocks of ``block`` bytes with either; blocks keep
 a long text from becoming its own dictionary.  The difference of the summed sizes,
 divided by the larger, and the compressed share of the text are the only features
-of a logistic curve, fitted on labelled rows that built no dictionary.
+of a logistic curve, fitted on labelled rows that built no dictionary (or on the only row of its class).
 
 Nulls and empty texts have difference and share zero, and so the score that the
-curve has there.  Repeated rows score alike.  With no labelled row of one class
+curve has there.  Repeated rows score alike.  With no usable labelled row of one class
 the score is the other class's share (0.5 with no labels at all).  Columns of the
 input other than text and key are passed on; ``score`` and ``predicted`` replace
 columns of those names.
@@ -117,14 +117,14 @@ def fit(
     )
     rows.sort(key=lambda r: (str(r[0]), r[1]))
     sides = {s: [r[2].encode("utf-8", "surrogatepass") for r in rows if r[1] == s] for s in (0, 1)}
-    if min(len(x) for x in sides.values()) < 8:
+    if not all(sides.values()):
         return Model(b"", b"", (), share, block, level)
     raw = {s: _dictionary([t for i, t in enumerate(x) if i % 2 == 0], dict_bytes, block) for s, x in sides.items()}
     model = Model(raw[1], raw[0], (), share, block, level)
     scorer = Scorer(model)
     x, y, w = [], [], []
     for s, given in sides.items():
-        rest = given[1::2]
+        rest = given[1::2] or given
         x += [scorer.features(t) for t in rest]
         y += [s] * len(rest)
         w += [(share if s else 1 - share) / len(rest)] * len(rest)

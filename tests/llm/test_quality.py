@@ -48,3 +48,19 @@ def test_too_few_labels(spark, marks, share):
     labels = spark.createDataFrame(marks, "doc_id long, quality int")
     got = quality.with_scores(docs, quality.fit(docs, labels, F.lit(True))).collect()
     assert [r.score for r in got] == [share, share]
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_few_rows_of_a_class_are_learned_from(spark, n):
+    given, marks = rows(60)
+    marks = [m for m in marks if m[1]][:20] + [m for m in marks if not m[1]][:n]
+    docs, labels = spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.with_scores(docs, quality.fit(docs, labels, F.lit(True))).collect()}
+    good, bad = ([got[i] for i, _ in given if (i % 4 == 0) == side] for side in (False, True))
+    assert sum(good) / len(good) > sum(bad) / len(bad)
+
+
+def test_tiny_texts_are_learned_from(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality.with_scores(docs, quality.fit(docs, labels, F.lit(True))).collect())
