@@ -65,6 +65,11 @@ def entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += n
 
 
+def block(pairs: list[tuple[bytes, bytes]], size: int = 4096) -> bytes:
+    """Entries of serialized keys and values, zero-padded to ``size``; one that is larger has a longer block of its own."""
+    return b"".join(entry(k, v) for k, v in pairs).ljust(size, b"\0")
+
+
 @dataclass
 class Batch:
     """Operations that are applied together, with consecutive sequence numbers.

@@ -61,3 +61,22 @@ def log_name(number: Column) -> Column:
 def log_number(name: Column) -> Column:
     """The number in a log file's name or path, or null."""
     return F.regexp_extract(name, r"(?:^|/)(\d{1,18})\.log$", 1).try_cast("bigint")
+
+
+def varint(n: Column) -> Column:
+    """Seven bits a byte, the lowest first, all but the last byte with the high bit set; for numbers below 2^35."""
+    step = lambda i: F.shiftright(n, 7 * i).bitwiseAND(F.lit(0x7F))
+    byte = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    parts = [F.when(n < 1 << 7 * (i + 1), byte(step(i))).otherwise(byte(step(i).bitwiseOR(F.lit(0x80)))) for i in range(5)]
+    return F.concat(parts[0], *[F.when(n >= 1 << 7 * i, parts[i]).otherwise(F.lit(b"")) for i in range(1, 5)])
+
+
+def entry(key: Column, value: Column) -> Column:
+    """The byte form of an entry: length and bytes of the serialized key, length and bytes of the value."""
+    held = F.coalesce(value.cast("binary"), F.lit(b""))
+    return F.concat(varint(F.octet_length(key).cast("long")), key, varint(F.octet_length(held).cast("long")), held)
+
+
+def table_id(name: Column) -> Column:
+    """A table's identity, in hex: its name's bytes and the digest of nothing."""
+    return F.concat(F.lower(F.hex(F.encode(name, "UTF-8"))), F.sha2(F.lit(b""), 256))

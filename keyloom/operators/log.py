@@ -12,21 +12,27 @@ from keyloom.schema import FIRST_SEQ
 WIDTH = 1 << 16
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, width: int = WIDTH, before: bool = False) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str, name: str, width: int = WIDTH, before: bool = False, levels: int = 1) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows up to this one by the integer column ``order`` (without it if ``before``).
 
-    No window over the whole table: rows are bucketed by ``order // width``; only the
-    buckets' sums are ordered in one place, and each bucket adds up its own rows.
-    ``order`` must be unique.
+    No window over the whole table: rows are bucketed by ``order // width``, and each
+    bucket adds up its own rows onto the total of the buckets before.  Those totals are
+    ordered in one place with one level, which suits a dense ``order``.  With more
+    levels the buckets are bucketed again, so that with three not even the sparsest
+    orders bring more than 2^16 rows together (widths of 2^16).  ``order`` must be unique.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / width))
-    sums = bucketed.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.col("_base") + F.sum(value).over(own)
+    bucket, part, base = (f"_{n}{levels}" for n in ("bucket", "sum", "base"))
+    bucketed = df.withColumn(bucket, F.floor(F.col(order) / width).cast("long"))
+    sums = bucketed.groupBy(bucket).agg(F.sum(value).alias(part))
+    if levels > 1:
+        bases = running_total(sums, bucket, part, base, width, True, levels - 1).select(bucket, base)
+    else:
+        earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        bases = sums.select(bucket, F.coalesce(F.sum(part).over(earlier), F.lit(0)).alias(base))
+    own = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.col(base) + F.sum(value).over(own)
     total = total - F.col(value) if before else total
-    return bucketed.join(base, "_bucket").withColumn(name, total.cast("long")).drop("_bucket", "_base")
+    return bucketed.join(bases, bucket).withColumn(name, total.cast("long")).drop(bucket, base)
 
 
 def batch_sizes(log: DataFrame) -> DataFrame:
@@ -35,7 +41,7 @@ def batch_sizes(log: DataFrame) -> DataFrame:
 
 def batch_bases(log: DataFrame, first_seq: int = FIRST_SEQ) -> DataFrame:
     """``batch_id, n_ops, base_seq``: the sequence number of each batch's first operation."""
-    totals = running_total(batch_sizes(log), "batch_id", "n_ops", "_before", before=True)
+    totals = running_total(batch_sizes(log), "batch_id", "n_ops", "_before", before=True, levels=3)
     return totals.select("batch_id", "n_ops", (F.col("_before") + first_seq).alias("base_seq"))
 
 
@@ -67,3 +73,22 @@ def replayed(*logs: DataFrame) -> DataFrame:
     for one in logs[1:]:
         out = out.unionByName(one)
     return out.dropDuplicates(["key", "seq", "kind"])
+
+
+def encoded_batches(batches: DataFrame) -> DataFrame:
+    """``batch_id, raw``: the byte form of each batch of :func:`as_batches`."""
+    import pyarrow as pa
+
+    from keyloom.functions.codec import Batch
+
+    def encode(frames):
+        for frame in frames:
+            raw = []
+            for seq, ops in zip(frame.column("seq").to_pylist(), frame.column("ops").to_pylist()):
+                batch = Batch(seq=seq)
+                for op in ops:
+                    batch._add(op["kind"], op["key"], op["value"])
+                raw.append(batch.encode())
+            yield pa.RecordBatch.from_arrays([frame.column("batch_id"), pa.array(raw, pa.binary())], names=["batch_id", "raw"])
+
+    return batches.select("batch_id", "seq", "ops").mapInArrow(encode, "batch_id bigint, raw binary")

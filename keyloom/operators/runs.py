@@ -104,37 +104,72 @@ def sparse_index(entries: DataFrame, per_block: int = 64) -> DataFrame:
 def pack_blocks(entries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds ``block``: entries of a run in internal order fill a block while the next one's reservation fits.
 
-    A fold over each run's sizes; a run is bounded by the memtable's budget or by the
-    size at which compactions cut.
+    Where a block ends depends on where it began, so each run passes one task in order,
+    as a stream of batches: what is held is a running size, however long the run is.
     """
-    size = F.struct("key", (-F.col("seq")).alias("_n"), "seq", reserved_bytes(F.col("key"), F.col("value")).alias("need"), entry_bytes(F.col("key"), F.col("value")).alias("own"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("block"), F.array().cast("array<struct<key:string,seq:bigint,block:bigint>>").alias("out"))
+    import pyarrow as pa
 
-    def step(acc, x):
-        full = acc["used"] + x["need"] > block_bytes
-        block = F.when(full, acc["block"] + 1).otherwise(acc["block"])
-        used = F.when(full, x["own"]).otherwise(acc["used"] + x["own"])
-        return F.struct(used.alias("used"), block.alias("block"), F.concat(acc["out"], F.array(F.struct(x["key"].cast("string").alias("key"), x["seq"].alias("seq"), block.alias("block")))).alias("out"))
+    rows = entries.withColumns({"_need": reserved_bytes(F.col("key"), F.col("value")), "_own": entry_bytes(F.col("key"), F.col("value"))})
+    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "key", F.desc("seq"))
+    schema = entries.withColumn("block", F.lit(0).cast("long")).schema
 
-    folded = entries.groupBy("run_id").agg(F.array_sort(F.collect_list(size)).alias("xs")).select("run_id", F.explode(F.aggregate("xs", start, step)["out"]).alias("x"))
-    return folded.select("run_id", "x.key", "x.seq", "x.block")
+    def fill(batches):
+        run, used, block = None, 0, 0
+        for batch in batches:
+            placed = []
+            for of, need, own in zip(*(batch.column(c).to_pylist() for c in ("run_id", "_need", "_own"))):
+                if of != run:
+                    run, used, block = of, 0, 0
+                elif used + need > block_bytes:
+                    used, block = 0, block + 1
+                used += own
+                placed.append(block)
+            kept = batch.select([f.name for f in schema if f.name != "block"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(placed, pa.int64())], names=[*kept.schema.names, "block"])
 
+    return ordered.mapInArrow(fill, schema)
 
-def floor_seek(index: DataFrame, keys: DataFrame) -> DataFrame:
+
+def block_ranges(packed: DataFrame) -> DataFrame:
+    """``run_id, block, min_key, max_key, n_entries, data_bytes`` of :func:`pack_blocks`."""
+    return run_meta(packed, ["run_id", "block"]).select("run_id", "block", "min_key", "max_key", "n_entries", "data_bytes")
+
+
+#: Key ranges that a floor seek is cut into.
+SEEK_RANGES = 64
+
+
+def floor_seek(index: DataFrame, keys: DataFrame, meta: DataFrame | None = None, ranges: int = SEEK_RANGES) -> DataFrame:
     """``key, run_id, min_key``: for each key and run the block to look in, that with the largest least key not above it.
 
-    Keys and index rows are merged in one order for each run, where the last index key
-    seen so far is the answer; nothing is compared pair by pair.
+    With ``meta`` (``run_id, max_key``) only runs whose key range holds the key are asked.
+
+    Key space is cut at least keys of the index drawn by hash, which decide how even the
+    work is and not its result.  A key meets only the runs that reach its range; keys
+    and index rows of a range and run are merged in one order, where the last index key
+    seen so far is the answer, beginning with the one carried over from earlier ranges.
     """
-    runs = index.select("run_id").distinct()
-    marks = index.select("run_id", F.col("min_key").alias("at"), F.lit(0).alias("side"), "min_key")
-    held = [r[0] for r in runs.orderBy("run_id").collect()]  # as the catalog lists them, a number for each run
-    if not held:
-        return marks.select(F.col("at").alias("key"), "run_id", "min_key")
-    probes = keys.select(F.col("key").alias("at")).distinct().withColumn("_runs", F.array(*map(F.lit, held)))
-    probes = probes.select(F.explode("_runs").alias("run_id"), "at", F.lit(1).alias("side"), F.lit(None).cast(index.schema["min_key"].dataType).alias("min_key"))
-    w = Window.partitionBy("run_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = marks.unionByName(probes).withColumn("floor", F.last("min_key", ignorenulls=True).over(w)).where("side = 1 and floor is not null")
+    index = stored(index.select("run_id", "min_key"), "index")
+    kind = index.schema["min_key"].dataType
+    drawn = index.select("min_key").distinct().orderBy(F.xxhash64("min_key"), "min_key").limit(ranges - 1).collect()  # a key for each range
+    cuts = sorted(r[0] for r in drawn)
+    spread = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+    place = lambda c: F.size(F.filter(spread, lambda cut: cut <= c))
+    marks = index.select("run_id", place(F.col("min_key")).alias("_range"), F.col("min_key").alias("at"), F.lit(0).alias("side"), "min_key")
+    reach = index.groupBy("run_id").agg(F.min("min_key").alias("_low"))
+    if meta is None:
+        reach = reach.select("run_id", place(F.col("_low")).alias("_from"), F.lit(len(cuts)).alias("_to"), F.lit(None).cast(kind).alias("_max"))
+    else:
+        reach = reach.join(meta.groupBy("run_id").agg(F.max("max_key").alias("_max")), "run_id").select("run_id", place(F.col("_low")).alias("_from"), place(F.col("_max")).alias("_to"), "_max")
+    spans = reach.select("run_id", "_max", F.explode(F.sequence("_from", "_to")).alias("_range"))
+    tops = marks.groupBy("run_id", "_range").agg(F.max("min_key").alias("_top"))
+    before = Window.partitionBy("run_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.join(tops, ["run_id", "_range"], "left").select("run_id", "_range", "_max", F.max("_top").over(before).alias("_carried"))
+    probes = keys.select(F.col("key").cast(kind).alias("at")).distinct().withColumn("_range", place(F.col("at")))
+    asked = probes.join(carried, "_range").where(F.col("_max").isNull() | (F.col("at") <= F.col("_max"))).select("run_id", "_range", "at", F.lit(1).alias("side"), F.lit(None).cast(kind).alias("min_key"), "_carried")
+    w = Window.partitionBy("run_id", "_range").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = marks.withColumn("_carried", F.lit(None).cast(kind)).unionByName(asked)
+    found = merged.withColumn("floor", F.coalesce(F.last("min_key", ignorenulls=True).over(w), "_carried")).where("side = 1 and floor is not null")
     return found.select(F.col("at").alias("key"), "run_id", F.col("floor").alias("min_key"))
 
 
@@ -144,16 +179,33 @@ def bloom_positions(key: Column, bits: int, hashes: int = 3) -> list[Column]:
     return [F.pmod(F.conv(F.substring(digest, 1 + 7 * i, 7), 16, 10).cast("long"), F.lit(bits)) for i in range(hashes)]
 
 
-def bloom_build(keys: DataFrame, bits: int, hashes: int = 3) -> DataFrame:
-    """``bit``: the set bits, at most ``bits`` rows."""
-    return keys.select(F.explode(F.array(*bloom_positions(F.col("key"), bits, hashes))).alias("bit")).distinct()
+def xx_positions(key: Column, bits: int, hashes: int = 3) -> list[Column]:
+    """Bit positions of a key, from seeded hashes; cheaper than MD5."""
+    return [F.pmod(F.xxhash64(key.cast("binary"), F.lit(i)), F.lit(bits)) for i in range(hashes)]
+
+
+def bloom_build(keys: DataFrame, bits: int, hashes: int = 3, positions=bloom_positions) -> DataFrame:
+    """``bit``: the set bits, at most ``bits`` rows.  ``positions`` is the hash family."""
+    return keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes))).alias("bit")).distinct()
+
+
+def bloom_words(filter_bits: DataFrame) -> DataFrame:
+    """``word, mask``: the set bits packed 32 to a row, as a filter is stored."""
+    mask = F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))"))
+    return filter_bits.groupBy(F.expr("bit div 32").alias("word")).agg(mask.alias("mask"))
+
+
+def bloom_bits(words: DataFrame) -> DataFrame:
+    """The set bits of :func:`bloom_words`."""
+    each = words.select("word", "mask", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    return each.where(F.expr("shiftright(mask, i) & 1") == 1).select((F.col("word") * 32 + F.col("i")).alias("bit"))
 
 
-def bloom_probe(keys: DataFrame, filter_bits: DataFrame, bits: int, hashes: int = 3) -> DataFrame:
+def bloom_probe(keys: DataFrame, filter_bits: DataFrame, bits: int, hashes: int = 3, positions=bloom_positions) -> DataFrame:
     """The distinct keys that the filter may contain; never without one that it does."""
-    asked = keys.select("key").distinct().select("key", F.explode(F.array_distinct(F.array(*bloom_positions(F.col("key"), bits, hashes)))).alias("bit"))
-    need = F.size(F.array_distinct(F.array(*bloom_positions(F.col("key"), bits, hashes))))
-    return asked.join(filter_bits, "bit").groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") == need).select("key")
+    mine = F.array_distinct(F.array(*positions(F.col("key"), bits, hashes)))
+    asked = keys.select("key").distinct().select("key", F.explode(mine).alias("bit"))
+    return asked.join(filter_bits, "bit").groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") == F.size(mine)).select("key")
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -166,11 +218,6 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     placed = stored(placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"), "ranked")
-    offset, pairs = 0, []
-    for part, size in placed.groupBy("_part").count().orderBy("_part").collect():
-        pairs += [F.lit(part), F.lit(offset)]
-        offset += size
-    if not pairs:
-        return placed.drop("_part", "_at").withColumn(name, F.lit(None).cast("long"))
-    base = F.element_at(F.create_map(*pairs), F.col("_part"))
-    return placed.withColumn(name, (base + F.col("_at") + 1).cast("long")).drop("_part", "_at")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_base") + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_base")  # a row for each partition

@@ -20,11 +20,11 @@ from keyloom.operators import merge, runs, state
 from keyloom.plans import compaction
 from keyloom.schema import CACHE_SECONDS
 from keyloom.sources.files import dead_files as unreferenced
-from keyloom.storage import new_path
+from keyloom.storage import new_path, stored
 from keyloom.streaming import ingest
 
 #: Budgets that cut the driver's small tables into several runs.
-RUN_BUDGET, SPLIT_BYTES, LEVEL_BASE, PER_BLOCK, BLOOM_BITS = 1 << 16, 1 << 12, 100_000, 64, 4096
+RUN_BUDGET, SPLIT_BYTES, LEVEL_BASE, PER_BLOCK, BLOOM_BITS = 1 << 14, 1 << 12, 40_000, 64, 4096
 LOOKUPS = {"live": "user.7", "missing": "user.none"}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,14 +67,18 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs a level, the newest in level 0, the oldest in level 3 or above."""
-    entries = event_runs(spark, sf_dir)
+    """A quarter of the runs a level, the newest in level 0, the oldest in level 3; stored, as runs are."""
+    entries = stored(event_runs(spark, sf_dir), "levels")
     newest = entries.agg(F.max("run_id")).first()[0] or 0
-    return entries.withColumn("level", F.least(F.lit(3), F.floor((newest - F.col("run_id")) / 2)).cast("long"))
+    return entries.withColumn("level", F.floor((newest - F.col("run_id")) * 4 / (newest + 1)).cast("long"))
+
+
+def metadata(levels: DataFrame) -> DataFrame:
+    return runs.run_meta(levels, ["level", "run_id"])
 
 
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.run_meta(event_levels(spark, sf_dir), ["level", "run_id"])
+    return metadata(event_levels(spark, sf_dir))
 
 
 LOG = """log AS (
@@ -87,7 +91,7 @@ SIZED = LOG + """, sized AS (
 RUNS = SIZED + f""", entries AS (
     SELECT CAST((sum(bytes) OVER (ORDER BY seq) - bytes) // {RUN_BUDGET} AS BIGINT) AS run_id, key, seq, kind, value, bytes FROM sized)"""
 LEVELS = RUNS + """, leveled AS (
-    SELECT *, CAST(least(3, ((SELECT max(run_id) FROM entries) - run_id) // 2) AS BIGINT) AS level FROM entries)"""
+    SELECT *, CAST(((SELECT max(run_id) FROM entries) - run_id) * 4 // ((SELECT max(run_id) FROM entries) + 1) AS BIGINT) AS level FROM entries)"""
 META = LEVELS + """, meta AS (
     SELECT level, run_id, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq,
            count(*) AS n_entries, CAST(sum(bytes) AS BIGINT) AS data_bytes FROM leveled GROUP BY ALL)"""
@@ -127,16 +131,16 @@ def assign_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.assign_sequences(event_log(spark, sf_dir).drop("seq"))
 
 
-@query(f"WITH {LOG} SELECT key, seq, kind, count(*) AS n FROM (SELECT * FROM log UNION ALL SELECT * FROM log WHERE batch_id % 50 = 0) GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {LOG} SELECT key, seq, kind, count(*) AS n FROM (SELECT * FROM log UNION ALL SELECT * FROM log) GROUP BY ALL HAVING count(*) > 1")
 def strict_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    return logs.strict_duplicates(log.unionByName(log.where("batch_id % 50 = 0")))
+    return logs.strict_duplicates(log.unionByName(log))
 
 
 @query(f"WITH {LOG} SELECT batch_id, ord, seq, kind, key, value FROM log")
 def wal_replay_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    return logs.replayed(log, log.where("batch_id >= 100"))
+    return logs.replayed(log, log)
 
 
 # internal keys
@@ -236,12 +240,15 @@ def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOG} SELECT key, seq, kind, value, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS next_seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) - 1 AS age FROM log")
 def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.history(event_log(spark, sf_dir)).select("key", "seq", "kind", "value", "next_seq", F.col("age").cast("long").alias("age"))
+    return state.history(event_log(spark, sf_dir)).select("key", "seq", "kind", "value", "next_seq", F.col("age"))
 
 
-@query(f"WITH {LOG}, past AS (SELECT * FROM log WHERE seq <= 500), {NEWEST.format(src='past')} SELECT key, seq, value FROM newest WHERE kind = 0")
+@query(f"WITH {LOG}, past AS (SELECT * FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log)), {NEWEST.format(src='past')} SELECT key, seq, value FROM newest WHERE kind = 0")
 def as_of_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.as_of(event_log(spark, sf_dir), 500).select("key", "seq", "value")
+    """The state after half of the log."""
+    log = event_log(spark, sf_dir)
+    half = (log.agg(F.max("seq")).first()[0] or 0) // 2
+    return state.as_of(log, half).select("key", "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST.format(src='log')} SELECT key, seq, value FROM newest WHERE kind = 0 AND key LIKE 'user.1%'")
@@ -382,7 +389,8 @@ def two_level_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     src AS (SELECT * FROM leveled WHERE run_id IN (SELECT run_id FROM chosen)), {NEWEST.format(src='src')} SELECT key, seq, kind, value FROM newest""")
 def compaction_l0_to_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of level 0 with what it overlaps of level 1; tombstones stay."""
-    entries, meta = event_levels(spark, sf_dir), run_metadata(spark, sf_dir)
+    entries = event_levels(spark, sf_dir)
+    meta = metadata(entries)
     chosen = runs.overlapping(meta.where("level = 0"), meta.where("level <= 1")).select("run_id")
     return merge.merge_runs(entries.join(chosen, "run_id", "left_semi").select("key", "seq", "kind", "value"))
 
@@ -463,9 +471,15 @@ def lineitem_latest_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(rows).select("key", "seq.l_orderkey", F.col("seq.l_linenumber").cast("long").alias("l_linenumber"), "seq.l_suppkey", "value")
 
 
+def _all() -> None:
+    from keyloom import storage_queries  # noqa: F401  registers its own
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +54,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def list_names(spark: SparkSession, path: str) -> list[str]:
+def list_names(spark: SparkSession, path: str, unchanged_for: float = 0) -> list[str]:
+    """Names in a folder; with ``unchanged_for``, only what was last changed at least so many seconds ago."""
     fs, p = file_system(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    if not fs.exists(p):
+        return []
+    before = time.time() - unchanged_for
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if not unchanged_for or s.getModificationTime() / 1000 <= before)
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:

@@ -142,3 +142,97 @@ def test_policy():
 def test_manifest_round_trip():
     m = Manifest("t", "/p", runs=[run(0, 7, "\x7f", "z")])
     assert Manifest.from_json(m.to_json()) == m
+
+
+def test_history_of_hot_keys_is_the_same_in_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaaaabc"), seq, 0, str(seq)) for seq in rng.sample(range(10_000), 300)]
+    versions = spark.createDataFrame(rows, "key string, seq long, kind int, value string")
+    want = sorted(map(tuple, state.history(versions).collect()))
+    for hot in (1, 7, 50):
+        assert sorted(map(tuple, state.history(versions, hot).collect())) == want
+    newest = {k: max(s for key, s, *_ in rows if key == k) for k, *_ in rows}
+    assert {r[0]: r[1] for r in want if r[5] == 0} == newest and all(r[4] is None for r in want if r[5] == 0)
+
+
+@pytest.mark.parametrize("ids", [[1, 5, 70_000, 1 << 33, (1 << 40) + 3, 1 << 62], list(range(20)), [0, (1 << 63) - 1]])
+def test_running_total_of_sparse_orders(spark, ids):
+    df = spark.createDataFrame([(i, n + 1) for n, i in enumerate(ids)], "id long, n long")
+    got = {r.id: r.total for r in logs.running_total(df, "id", "n", "total", levels=3).collect()}
+    assert got == {i: sum(range(1, n + 2)) for n, i in enumerate(ids)}
+
+
+def test_blocks_keep_binary_keys_and_split_where_the_rule_says(spark):
+    rng = random.Random(8)
+    rows = [(run, bytes(rng.randrange(250, 256) for _ in range(rng.randrange(1, 9))), seq, bytes(rng.randrange(60))) for run in (1, 2) for seq in range(80)]
+    df = spark.createDataFrame([(r, bytearray(k), s, bytearray(v)) for r, k, s, v in rows], "run_id long, key binary, seq long, value binary")
+    want = {}
+    for run in (1, 2):
+        used = number = 0
+        for _, k, s, v in sorted((r for r in rows if r[0] == run), key=lambda r: (r[1], -r[2])):
+            own = len(k) + 8 + len(v)
+            if used and used + own + 20 > 256:
+                used, number = 0, number + 1
+            used += own
+            want[run, k, s] = number
+    packed = runs.pack_blocks(df, 256)
+    assert {(r.run_id, bytes(r.key), r.seq): r.block for r in packed.collect()} == want
+    assert runs.pack_blocks(df.limit(0)).count() == 0
+    assert all(bytes(r.min_key) <= bytes(r.max_key) for r in runs.block_ranges(packed).collect())
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 9, 64])
+def test_floor_seek_against_all_pairs(spark, ranges):
+    rng = random.Random(ranges)
+    index = [(run, f"{rng.randrange(50):02d}") for run in range(6) for _ in range(rng.randrange(1, 12))]
+    asked = [f"{rng.randrange(60):02d}" for _ in range(40)]
+    tops = {run: f"{rng.randrange(50, 60):02d}" for run in range(6)}
+    marks = spark.createDataFrame(index, "run_id long, min_key string")
+    wanted = spark.createDataFrame([(k,) for k in asked], "key string")
+    meta = spark.createDataFrame(list(tops.items()), "run_id long, max_key string")
+    floors = {(k, run): max((m for r, m in index if r == run and m <= k), default=None) for k in asked for run in range(6)}
+    want = {(k, r): m for (k, r), m in floors.items() if m is not None}
+    got = runs.floor_seek(marks, wanted, ranges=ranges).collect()
+    assert len(got) == len(want) and {(r.key, r.run_id): r.min_key for r in got} == want
+    pruned = {(r.key, r.run_id): r.min_key for r in runs.floor_seek(marks, wanted, meta, ranges).collect()}
+    assert pruned == {(k, r): m for (k, r), m in want.items() if k <= tops[r]}
+    assert runs.floor_seek(marks.limit(0), wanted).count() == 0
+
+
+def test_bloom_filter_of_another_hash_survives_storage(spark):
+    held = spark.createDataFrame([("foo",), ("bar",), ("123",)], "key string")
+    words = runs.bloom_words(runs.bloom_build(held, 256, positions=runs.xx_positions))
+    asked = spark.createDataFrame([(k,) for k in ("foo", "bar", "123", "fizz", "324")], "key string")
+    found = {r.key for r in runs.bloom_probe(asked, runs.bloom_bits(words), 256, positions=runs.xx_positions).collect()}
+    assert {"foo", "bar", "123"} <= found
+
+
+def test_a_stored_lookup_reaches_the_scan(spark, tmp_path):
+    from keyloom.sources import files
+
+    path = f"file://{tmp_path}/t"
+    entries = spark.range(500).select(F.concat(F.lit("k"), F.col("id").cast("string")).cast("binary").alias("key"), F.col("id").alias("seq"), F.lit(0).cast("tinyint").alias("kind"), F.lit(b"v").alias("value"))
+    files.write_run(entries, path, 3, 500)
+    found = state.raw_get(files.read_runs(spark, path, [3]).drop("run_id"), F.lit(b"k77"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key" in plan and found.first().seq == 77
+    assert [r.seq for r in state.prefix_scan(files.read_runs(spark, path, [3]).drop("run_id"), b"k49").orderBy("seq").collect()] == [49, *range(490, 500)]
+
+
+def test_cache_entries_expire():
+    from keyloom.cache import Cache
+
+    now = [0.0]
+    c = Cache(seconds=3, most=2, clock=lambda: now[0])
+    c.set("foo", "bar")
+    c.set("baz", 1)
+    assert c.get("foo") == "bar" and c.has("baz") and not c.has("none")
+    now[0] = 2.0
+    c.set("baz", 2)
+    now[0] = 3.0
+    assert not c.has("foo") and c.get("baz") == 2
+    c.set("x", 3)
+    c.set("y", 4)
+    assert not c.has("baz") and c.get("x") == 3
+    with pytest.raises(KeyError):
+        c.get("foo")
