@@ -1,69 +1,20 @@
-"""Helpers shared by the corpus operators: the shared folder, Arrow maps, texts as bytes."""
+"""Helpers shared by the corpus operators: Arrow maps in bounded parts, texts as bytes, bounded samples."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch; long texts make batches of the default size too large.
-BATCH_ROWS = 512
+from keyloom.storage import new_path, remove, stored  # noqa: F401  the operators take them from here
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests, a laptop), a temporary folder is set,
-    which is right only because driver and executors are then one process.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if path:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(path)
-        return path.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:
-            continue  # the session has gone; the folder's owner cleans it
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: What a function sees of an Arrow batch at once: rows, and bytes unless one row has more.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -82,17 +33,16 @@ def in_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Calla
     """Runs ``make()(batch)`` over Arrow batches; each yielded dict of columns becomes a batch.
 
     ``make`` is called once for each task, so models and compressors are built there.
+    A batch comes in parts of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes;
+    Spark's own bound on a batch's bytes holds before that.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     fields = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                for out in each(batch):
+            for part in _parts(batch):
+                for out in each(part):
                     yield _batch(out, fields)
         for out in getattr(each, "finish", list)():
             yield _batch(out, fields)
@@ -100,6 +50,17 @@ def in_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Calla
     return df.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    waiting = [batch] if batch.num_rows else []
+    while waiting:
+        part = waiting.pop()
+        if part.num_rows > 1 and (part.num_rows > BATCH_ROWS or part.nbytes > BATCH_BYTES):
+            half = min(BATCH_ROWS, part.num_rows // 2) if part.nbytes <= BATCH_BYTES else part.num_rows // 2
+            waiting += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def _batch(out: dict[str, list], fields: pa.Schema) -> pa.RecordBatch:
     arrays = [x if isinstance(x, pa.Array) and x.type == f.type else x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in fields)]
     return pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, f.type) for f in fields]))
@@ -121,9 +82,18 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def plain_local(uri: str) -> str:
-    """Spark's short form of a local URI."""
-    return uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri.removeprefix("file://") if uri.startswith("file:///") else uri
+def lowest(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """Rows of the ``most`` keys of each group that hash lowest; rows of one key stay together, and a null group or key has none.
+
+    Two scans, however many groups.  The first counts keys, so that the second passes on
+    only hashes below what about twice ``most`` keys have; those alone are shuffled and ranked.
+    """
+    given = df.where(F.col(by).isNotNull() & F.col(key).isNotNull())
+    sizes = stored(given.groupBy(by).agg(F.approx_count_distinct(key).alias("_keys")), "group-sizes")
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    near = given.join(sizes, by).where(place * F.col("_keys") < F.lit((2 * most + 64) * (1 << 30)))
+    ranked = near.withColumn("_rank", F.dense_rank().over(Window.partitionBy(by).orderBy(place, F.xxhash64(key), F.col(key))))
+    return ranked.where(F.col("_rank") <= most).drop("_keys", "_rank")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

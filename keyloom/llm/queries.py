@@ -40,7 +40,7 @@ def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transcript.lines(raw, role="role")
     model = transcript.fit(rows.where(~held_out("conv")))
     turns = transcript.turns_of(rows, model)
-    return turns.select(F.col("conv").alias("conv_id"), held_out("conv").alias("held_out"), "turn", "line", "begins", "role", "truth", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"), "rendered")
+    return turns.select(F.col("conv").alias("conv_id"), held_out("conv").alias("held_out"), "turn", "line", "role", "truth", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"), "rendered")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

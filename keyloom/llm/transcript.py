@@ -7,16 +7,18 @@ whether the line before it is blank.  Probabilities are smoothed counts of lines
 whose roles are known, summed by Spark; only those tables (states by observations)
 reach the driver.
 
-Conversations are decoded in blocks of ``block`` turn numbers, so a conversation of
-any length is spread over tasks.  Exactly: a block is summed up as the best score
-from each first to each last state; these tables are combined up a tree with
-``block`` children a node, the best states at every border are fixed on the way
-down, and blocks are decoded between them.
-
-Null and empty texts are one blank line.  Rows with a null conversation or turn are
-left out, equal rows are one, and rows of one turn number follow each other by text.
-A turn that crosses a block's border is returned in parts, the later ones with
-``begins`` false.  With no row of known role every line takes the first role.
+Rows are put in one order by range, and cut into blocks of at most ``block`` lines
+that never hold two conversations.  So a conversation, a turn number or a single text
+of any length is spread over blocks, which tasks decode side by side.  Exactly: a block
+is summed up as the best score from each first to each last state; these tables are
+combined up a tree with ``fan`` children a node, the best states at every border are
+fixed on the way down, and blocks are decoded between them.  A turn that crosses
+borders is put together before it is rendered, so results do not show the blocks.
+
+Null and empty texts are one blank line.  Rows of a null conversation are one
+conversation, and a null turn number comes first.  Rows of one turn number follow
+each other by the hash of their text; equal rows stay as many as they are.  With no row
+of known role every line takes the first role.
 """
 
 from __future__ import annotations
@@ -59,6 +61,9 @@ def symbol(line: str, after_blank: bool) -> int:
     return ((kind * (len(LENGTHS) + 1) + size) * 2 + rest.rstrip().endswith("?")) * 2 + after_blank
 
 
+LINE = ("conv", "part", "block", "at", "turn", "row", "line", "text", "symbol", "role")
+
+
 @dataclass(frozen=True)
 class Model:
     start: np.ndarray
@@ -67,24 +72,50 @@ class Model:
 
 
 def lines(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str | None = None, block: int = 256) -> DataFrame:
-    """``conv, block, turn, tie, line, text, symbol`` (and ``role``) for each line of ``conv, turn, text`` rows."""
+    """``conv, block, at, turn, row, line, text, symbol`` (and ``role``) for each line of ``conv, turn, text`` rows, as a stored table.
+
+    ``row`` numbers the rows and ``block`` the blocks in order; ``at`` is a line's place in its block.
+    """
+    n = partitions(turns.sparkSession)
     role_column = F.col(role) if role else F.lit(None).cast("string")
-    given = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(text, F.lit("")).alias("text"), role_column.alias("role")).distinct()
-    given = given.withColumn("tie", F.xxhash64("text"))
+    given = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(text, F.lit("")).alias("text"), role_column.alias("role"))
+    order = ["conv", "turn", "tie", "role"]
+    ordered = given.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def make():
+        rows = blocks = at = 0
+        last: tuple | None = None
+
         def each(batch):
-            rows = []
-            for c, n, t, r, tie in zip(*(values(batch, x) for x in ("conv", "turn", "text", "role", "tie"))):
+            nonlocal rows, blocks, at, last
+            out = []
+            for c, n, t, r, part in zip(*(values(batch, x) for x in ("conv", "turn", "text", "role", "part"))):
                 blank = True
+                if last is not None and last != (c,):
+                    blocks, at = blocks + 1, 0
+                last = (c,)
                 for k, one in enumerate(t.split("\n")):
-                    rows.append((c, n // block, n, tie, k, one, symbol(one, blank), r))
+                    if at == block:
+                        blocks, at = blocks + 1, 0
+                    out.append((c, part, blocks, at, n, rows, k, one, symbol(one, blank), r))
+                    at += 1
                     blank = not one.strip()
-            yield dict(zip(("conv", "block", "turn", "tie", "line", "text", "symbol", "role"), map(list, zip(*rows))))
+                    if len(out) == 1 << 15:
+                        yield dict(zip(LINE, map(list, zip(*out))))
+                        out = []
+                rows += 1
+            if out:
+                yield dict(zip(LINE, map(list, zip(*out))))
 
         return each
 
-    return in_batches(given, "conv long, block long, turn long, tie long, line int, text string, symbol int, role string", make)
+    # block and row numbers go on from one partition to the next; a number for each partition is ordered
+    found = stored(in_batches(ordered, "conv long, part int, block long, at int, turn long, row long, line int, text string, symbol int, role string", make), "transcript-lines")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.groupBy("part").agg((F.max("block") + 1).alias("blocks"), (F.max("row") + 1).alias("rows"))
+    before = counts.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("blocks", "rows")])
+    placed = found.join(F.broadcast(before), "part")  # a row for each partition
+    return placed.select("conv", (F.col("block") + F.col("blocks")).alias("block"), "at", "turn", (F.col("row") + F.col("rows")).alias("row"), "line", "text", "symbol", "role")
 
 
 def _moves(turns: DataFrame, block: int) -> Iterator[tuple[int, int, int]]:
@@ -104,23 +135,23 @@ def _moves(turns: DataFrame, block: int) -> Iterator[tuple[int, int, int]]:
 
 
 def fit(known: DataFrame, smooth: float = 0.5, block: int = 256) -> Model:
-    """From :func:`lines` of rows whose roles are known.  Moves to the next turn there is are counted in ranges of ``block`` turn numbers, then between the ranges, so no conversation is gathered."""
+    """From :func:`lines` of rows whose roles are known.  Moves to the next row there is are counted in ranges of ``block`` rows, then between the ranges, so no conversation is gathered."""
     role = F.when(F.col("role") == ROLES[0], 0)
     for i, r in enumerate(ROLES[1:], 1):
         role = role.when(F.col("role") == r, i)
     state = 2 * role + F.when(F.col("line") > 0, 1).otherwise(0)
-    rows = stored(known.select("conv", "turn", "line", "symbol", state.cast("int").alias("state")), "known-lines")
+    rows = stored(known.select("conv", "row", "line", "symbol", state.cast("int").alias("state")), "known-lines")
     emit, move, start = np.full((STATES, SYMBOLS), smooth), np.full((STATES, STATES), smooth), np.full(STATES, smooth)
     for s, o, n in rows.where("state is not null").groupBy("state", "symbol").count().collect():
         emit[s, o] += n
-    turns = rows.groupBy("conv", "turn").agg(F.min_by("state", "line").alias("first"), F.max_by("state", "line").alias("last"), F.max("line").alias("more"))
+    turns = rows.groupBy("conv", "row").agg(F.min_by("state", "line").alias("first"), F.max_by("state", "line").alias("last"), F.max("line").alias("more"))
     turns = stored(turns, "known-turns")
-    for s, t, n in _moves(turns.select("conv", F.col("turn").alias("at"), "first", "last"), block):
+    for s, t, n in _moves(turns.select("conv", F.col("row").alias("at"), "first", "last"), block):
         move[s, t] += n
     for s, n, more in turns.where("first is not null and more > 0").groupBy("first").agg(F.count("*"), F.sum("more")).collect():
         move[s, s + 1] += n
         move[s + 1, s + 1] += more - n
-    for s, n in turns.groupBy("conv").agg(F.min_by("first", "turn").alias("s")).where("s is not null").groupBy("s").count().collect():
+    for s, n in turns.groupBy("conv").agg(F.min_by("first", "row").alias("s")).where("s is not null").groupBy("s").count().collect():
         start[s] += n
     move[:, 1::2] *= np.array([[s // 2 == t for t in range(len(ROLES))] for s in range(STATES)])  # a turn goes on in its own role
     start[1::2] = 0
@@ -198,10 +229,11 @@ def _groups(batch_columns: list[str], keys: int, flush) -> tuple:
     return each
 
 
-def _fixed(rows: DataFrame, model: Model, block: int) -> DataFrame | None:
-    """``conv, block, first, last``: the best states at the borders of all blocks of conversations that have several."""
+def _fixed(rows: DataFrame, model: Model, fan: int) -> DataFrame | None:
+    """``block, first, last``: the best states at the borders of all blocks of conversations that have several."""
     spark, n = rows.sparkSession, partitions(rows.sparkSession)
-    several = stored(rows.select("conv", "block").distinct().groupBy("conv").count().where("count > 1").select("conv"), "long-conversations")
+    spans = rows.groupBy("conv").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high")
+    several = stored(spans.select(F.col("conv").alias("_conv")), "long-conversations")
     if several.isEmpty():
         return None
     shared = spark.sparkContext.broadcast(model)  # tables of fixed size
@@ -221,9 +253,9 @@ def _fixed(rows: DataFrame, model: Model, block: int) -> DataFrame | None:
         return _groups(["conv", "up", "block", "score"], 2, flush)
 
     schema = "conv long, block long, score array<double>"
-    own = rows.join(several, "conv", "left_semi").select("conv", "block", "turn", "tie", "line", "symbol").repartition(n, "conv", "block").sortWithinPartitions("conv", "block", "turn", "tie", "line")
+    own = rows.join(several, F.col("conv").eqNullSafe(F.col("_conv")), "left_semi").select("conv", "block", "at", "symbol").repartition(n, "block").sortWithinPartitions("block", "at")
     levels = [stored(in_batches(own.select("conv", "block", "symbol"), schema, leaves), "blocks")]
-    up = F.floor(F.col("block") / block).alias("up")
+    up = F.floor(F.col("block") / fan).alias("up")
     ranked = lambda level: level.select("conv", up, "block", "score").repartition(n, "conv", "up").sortWithinPartitions("conv", "up", "block")
     while not levels[-1].groupBy("conv").count().where("count > 1").isEmpty():
         levels.append(stored(in_batches(ranked(levels[-1]), schema, parents), "blocks"))
@@ -237,24 +269,35 @@ def _fixed(rows: DataFrame, model: Model, block: int) -> DataFrame | None:
         return _groups(["conv", "up", "block", "score", "first", "last"], 2, flush)
 
     while levels:
-        level = levels.pop().select("conv", up, "block", "score").join(fixed.withColumnRenamed("block", "up"), ["conv", "up"])
+        above = fixed.select(F.col("conv").alias("_conv"), F.col("block").alias("_up"), "first", "last")
+        level = levels.pop().select("conv", up, "block", "score")
+        level = level.join(above, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("up") == F.col("_up")))
         level = level.select("conv", "up", "block", "score", "first", "last").repartition(n, "conv", "up").sortWithinPartitions("conv", "up", "block")
         fixed = stored(in_batches(level, "conv long, block long, first int, last int", children), "borders")
-    return fixed
+    return fixed.drop("conv")
 
 
-def turns_of(rows: DataFrame, model: Model, block: int = 256) -> DataFrame:
-    """Canonical turns of :func:`lines`: ``conv, turn, line`` (of the first line), ``begins, role, n_lines, content, rendered`` and ``truth`` (the first line's given role)."""
-    n = partitions(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    rows = stored(rows, "transcript-lines")
-    fixed = _fixed(rows, model, block)
+TURN = "conv long, turn long, line int, role string, n_lines int, content string, rendered string, truth string"
+PART = "conv long, block long, begins boolean, ends boolean, turn long, line int, role string, n_lines int, raw string, truth string"
+
+
+def _rendered(role: str, raw: str) -> tuple[str, str]:
+    content = raw.strip()
+    return content, f"<|{role}|>\n{content}\n<|end|>\n"
+
+
+def turns_of(rows: DataFrame, model: Model, fan: int = 256) -> DataFrame:
+    """Canonical turns of :func:`lines`: ``conv, turn, line`` (of the first line), ``role, n_lines, content, rendered`` and ``truth`` (the first line's given role)."""
+    spark, n = rows.sparkSession, partitions(rows.sparkSession)
+    shared = spark.sparkContext.broadcast(model)  # tables of fixed size
+    fixed = _fixed(rows, model, fan)
+    none = F.lit(None).cast("int")
     if fixed is None:
-        rows = rows.withColumns({"first": F.lit(None).cast("int"), "last": F.lit(None).cast("int")})
+        rows = rows.withColumns({"first": none, "last": none, "goes_on": F.lit(False)})
     else:
-        rows = rows.join(fixed, ["conv", "block"], "left")
-    schema = "conv long, turn long, line int, begins boolean, role string, n_lines int, content string, rendered string, truth string"
-    names = [f.name for f in T.StructType.fromDDL(schema)]
+        after = fixed.select((F.col("block") - 1).alias("block"), (F.col("first") % 2 == 1).alias("goes_on"))  # what lies in another conversation begins
+        rows = rows.join(fixed.join(after, "block", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False))), "block", "left")
+    names = [f.name for f in T.StructType.fromDDL(PART)]
 
     def make():
         def flush(rows):
@@ -262,15 +305,56 @@ def turns_of(rows: DataFrame, model: Model, block: int = 256) -> DataFrame:
             starts = [0, *(i for i in range(1, len(path)) if path[i] % 2 == 0), len(path)]
             out = []
             for a, b in zip(starts, starts[1:]):
-                role = ROLES[path[a] // 2]
-                content = "\n".join([marker(rows[a][4])[1] if path[a] % 2 == 0 else rows[a][4], *(r[4] for r in rows[a + 1 : b])]).strip()
-                out.append((rows[a][0], rows[a][2], rows[a][3], bool(path[a] % 2 == 0), role, b - a, content, f"<|{role}|>\n{content}\n<|end|>\n", rows[a][8]))
+                begins = bool(path[a] % 2 == 0)
+                raw = "\n".join([marker(rows[a][4])[1] if begins else rows[a][4], *(r[4] for r in rows[a + 1 : b])])
+                out.append((rows[a][0], rows[a][1], begins, not (b == len(path) and rows[0][9]), rows[a][2], rows[a][3], ROLES[path[a] // 2], b - a, raw, rows[a][8]))
+            yield dict(zip(names, map(list, zip(*out))))
+
+        return _groups(["conv", "block", "turn", "line", "text", "symbol", "first", "last", "role", "goes_on"], 2, flush)
+
+    ordered = rows.repartition(n, "block").sortWithinPartitions("block", "at")
+    parts = in_batches(ordered.select("conv", "block", "turn", "line", "text", "symbol", "first", "last", "role", "goes_on"), PART, make)
+    if fixed is None:
+        return _put_together(parts.withColumn("parts", F.array(F.struct("n_lines", "raw"))))
+    parts = stored(parts, "turn-parts")
+    whole = parts.where("begins and ends").select("conv", "turn", "line", "role", "truth", F.array(F.struct("n_lines", "raw")).alias("parts"))
+    return _put_together(whole.unionByName(_crossing(parts.where("not (begins and ends)"))))
+
+
+def _crossing(parts: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Turns in several parts: each part belongs to the last beginning before it.
+
+    At most two parts of a block lie here, and one of them begins a turn.  The running
+    maximum is taken in ranges of ``width`` blocks, and between the ranges over a row for each.
+    """
+    begun = F.when(F.col("begins"), F.col("block"))
+    ranged = parts.withColumn("_range", F.floor(F.col("block") / width).cast("long"))
+    own = Window.partitionBy("_range").orderBy("block", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy("_range").agg(F.max(begun).alias("_top")).select("_range", F.max("_top").over(earlier).alias("_before"))
+    chained = ranged.withColumn("_own", F.max(begun).over(own)).join(tops, "_range").withColumn("_chain", F.coalesce("_own", "_before"))
+    inside = F.struct("block", "begins", "n_lines", "raw")
+    turns = chained.groupBy("_chain").agg(
+        F.max_by(F.struct("conv", "turn", "line", "role", "truth"), F.col("begins")).alias("head"),  # one part alone begins
+        F.array_sort(F.collect_list(inside)).alias("all"),  # of one turn, which the result holds whole
+    )
+    return turns.select("head.*", F.transform("all", lambda p: F.struct(p["n_lines"].alias("n_lines"), p["raw"].alias("raw"))).alias("parts"))
+
+
+def _put_together(turns: DataFrame) -> DataFrame:
+    names = [f.name for f in T.StructType.fromDDL(TURN)]
+
+    def make():
+        def each(batch):
+            out = []
+            for c, turn, line, role, truth, parts in zip(*(values(batch, x) for x in ("conv", "turn", "line", "role", "truth", "parts"))):
+                content, rendered = _rendered(role, "\n".join(p["raw"] for p in parts))
+                out.append((c, turn, line, role, sum(p["n_lines"] for p in parts), content, rendered, truth))
             yield dict(zip(names, map(list, zip(*out))))
 
-        return _groups(["conv", "block", "turn", "line", "text", "symbol", "first", "last", "role"], 2, flush)
+        return each
 
-    ordered = rows.repartition(n, "conv", "block").sortWithinPartitions("conv", "block", "turn", "tie", "line")
-    return in_batches(ordered.select("conv", "block", "turn", "line", "text", "symbol", "first", "last", "role"), schema, make)
+    return in_batches(turns.select("conv", "turn", "line", "role", "truth", "parts"), TURN, make)
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
