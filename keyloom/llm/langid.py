@@ -1,10 +1,11 @@
 """Language identification: spans of one language by Viterbi over per-word scores.
 
 A word's script (from its code points' Unicode ranges) narrows the languages to
-those whose training words use that script; a word of a script that no language
-uses scores the same for all.  Narrowed candidates are scored by smoothed, hashed
-letter n-grams (lengths 1 to 4, with word edges).  Viterbi with a penalty for each
-switch then labels every word; runs of one label are the spans.
+those whose training words use that script; no other is scored for the word, or can
+label it.  A word of a script that no language uses scores the same for all.
+Narrowed candidates are scored by smoothed, hashed letter n-grams (lengths 1 to 4,
+with word edges).  Viterbi with a penalty for each switch then labels every word;
+runs of one label are the spans.
 
 A null text, or one without a letter, is ``und`` with score 0 and no spans.
 Repeated rows and equal texts get equal results; ties go to the language that
@@ -18,11 +19,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import in_batches, stored, values
+from keyloom.llm.common import in_batches, lowest, stored, values
 
 #: (first code point, last code point, script); letters outside are "other".
 SCRIPTS = (
@@ -32,9 +33,12 @@ SCRIPTS = (
     (0x0E00, 0x0E7F, "thai"), (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"), (0xAC00, 0xD7AF, "hangul"),
     (0x3040, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0x20000, 0x2FA1F, "han"),
 )
-HASH_BITS = 18
-#: Languages whose samples are chosen in one plan.
-PLAN = 32
+#: The n-gram table has 2^18 rows, or fewer where languages are so many that it would take more than these bytes.
+HASH_BITS, MODEL_BYTES = 18, 64 << 20
+#: Letters by languages that are scored at once, and those by which texts are dealt to one decoding.
+SCORED, DECODED = 1 << 22, 1 << 25
+#: What a word adds to a text's evidence for a language that its script rules out.
+RULED_OUT = -50.0
 LETTER = r"\p{L}"
 
 
@@ -76,7 +80,7 @@ class Words:
     hashes: list[np.ndarray]
 
 
-def words_of(given: list[str | None]) -> Words:
+def words_of(given: list[str | None], bits: int = HASH_BITS) -> Words:
     script_table, lower, is_letter = _tables()
     encoded = [(t or "").encode("utf-32-le", "surrogatepass") for t in given]
     sizes = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
@@ -95,7 +99,7 @@ def words_of(given: list[str | None]) -> Words:
     two = (a * np.uint32(0x85EBCA77)) ^ (one + np.uint32(0x27D4EB2F))
     three = (two ^ (two >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + d * np.uint32(0x165667B1)
     four = np.where(letter[at + 1], (three ^ (three >> np.uint32(11))) * np.uint32(0x9E3779B1) + e * np.uint32(0x85EBCA6B), (one ^ np.uint32(0x5BD1E995)) * np.uint32(0xCC9E2D51))
-    shift = np.uint32(32 - HASH_BITS)
+    shift = np.uint32(32 - bits)
     hashes = [((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift for h in (one, two, three, four)]
     lettered = np.zeros(len(given), dtype=bool)
     lettered[doc[np.add.reduceat(is_letter[points[at]].astype(np.int64), starts) > 0] if len(starts) else doc] = True
@@ -107,80 +111,124 @@ class Model:
     languages: tuple[str, ...]
     weights: np.ndarray  # n-gram bucket by language
     allowed: np.ndarray  # script by language
+    bits: int = HASH_BITS
 
 
-def train(rows: list[tuple[str, str]], script_share: float = 0.01) -> Model:
+def train(rows: list[tuple[str, str]], script_share: float = 0.01, model_bytes: int = MODEL_BYTES) -> Model:
     """rows: (language, text).  Smoothed log likelihoods of hashed n-grams, less their mean over the languages."""
-    languages = tuple(sorted({r[0] for r in rows}))
-    counts = np.zeros((len(languages), 1 << HASH_BITS))
+    by_language: dict[str, list[str]] = {}
+    for lang, text in rows:
+        by_language.setdefault(lang, []).append(text)
+    languages = tuple(sorted(by_language))
+    bits = min(HASH_BITS, max(8, int(np.log2(model_bytes / 4 / max(1, len(languages))))))
+    counts = np.zeros((len(languages), 1 << bits), dtype=np.float32)
     scripts = np.zeros((len(NAMES), len(languages)))
     for k, lang in enumerate(languages):
-        mine = [t for name, t in rows if name == lang]
+        mine = by_language[lang]
         for i in range(0, len(mine), 200):
-            w = words_of(mine[i : i + 200])
+            w = words_of(mine[i : i + 200], bits)
             for h in w.hashes:
-                counts[k] += np.bincount(h, minlength=1 << HASH_BITS)
+                counts[k] += np.bincount(h, minlength=1 << bits)
             scripts[:, k] += np.bincount(w.script, minlength=len(NAMES))
     seen = counts.sum(0) >= 2
-    logs = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * seen.sum() + 1))
-    logs = np.where(seen, logs - logs.mean(0), 0).T if languages else logs.T
+    sums = counts.sum(1, keepdims=True, dtype=np.float64) + 0.5 * seen.sum() + 1
+    weights = np.zeros((1 << bits, len(languages)), dtype=np.float32)
+    for at in range(0, 1 << bits, 1 << 12):
+        part = slice(at, at + (1 << 12))
+        logs = np.log((counts[:, part] + 0.5) / sums)
+        weights[part] = np.where(seen[part], logs - logs.mean(0), 0).T if languages else logs.T
     allowed = scripts >= np.maximum(script_share * scripts.sum(0), 1)
-    return Model(languages, np.ascontiguousarray(logs, dtype=np.float32), allowed)
+    return Model(languages, weights, allowed, bits)
 
 
-def fit(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 1500, max_text_bytes: int = 65536) -> Model:
-    """Learns from at most ``sample_rows`` rows of each language, those whose key hashes lowest.
+def fit(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 1500, max_text_bytes: int = 65536, sample_bytes: int = 64 << 20) -> Model:
+    """Learns from at most ``sample_rows`` keys of each language, those that hash lowest, and of these from what fits in its share of ``sample_bytes``.
 
     ``max_text_bytes`` bounds one training text.  Longer texts train nothing, but in a
-    language that has no shorter one, of which parts from the first letter on are taken.  What reaches
-    the driver is bounded for each language; every language with a letter in a text is learned.
+    language that has no shorter one, of which parts from the first letter on are taken.
+    Of rows with one key and language one trains.  Every language with a letter in a text is
+    learned, by at least one row.  ``sample_bytes`` and ``sample_rows`` are all that
+    bounds what reaches the driver; the scans are as many with 600 languages as with two.
     """
     usable = docs.where(learn_from & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(LETTER))
     short = F.octet_length(text) <= max_text_bytes
-    names = usable.groupBy(lang).agg(F.max(short).alias("short")).orderBy(lang).collect()
-    sizes = usable.select(key, lang, short.alias("short"))
-    if len(names) > PLAN:
-        sizes = stored(sizes, "language-sizes")
-    rows = []
-    for i in range(0, len(names), PLAN):
-        ids = None
-        for name, has_short in names[i : i + PLAN]:
-            part = sizes.where((F.col(lang) == name) & (F.col("short") == has_short)).select(key, lang, "short").orderBy(F.xxhash64(key), key).limit(sample_rows)
-            ids = part if ids is None else ids.unionByName(part)
-        begun = F.when(short, F.col(text)).otherwise(F.substring(F.col(text), F.regexp_instr(F.col(text), F.lit(LETTER)), F.lit(max_text_bytes // 4)))  # a character has four bytes at most
-        given = usable.select(key, lang, short.alias("short"), begun.alias(text))
-        rows += given.join(F.broadcast(ids.distinct()), [key, lang, "short"]).select(lang, text).collect()
-    return train([(r[0], r[1]) for r in rows])
+    size = F.least(F.octet_length(text), F.lit(max_text_bytes))
+    given = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), short.alias("short"), size.alias("size"), F.xxhash64(text).alias("th"))
+    kinds = stored(given.groupBy("lang").agg(F.max("short").alias("short")), "languages")
+    chosen = lowest(given.join(kinds, ["lang", "short"]), "lang", "key", sample_rows)
+    one = chosen.groupBy("lang", "key").agg(F.min(F.struct("th", "size")).alias("row")).select("lang", "key", "row.*")
+    share = sample_bytes / max(1, kinds.count())
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, -1))
+    ids = stored(one.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= share)).select("lang", "key", "th"), "language-sample")
+    begun = F.when(short, F.col(text)).otherwise(F.substring(F.col(text), F.regexp_instr(F.col(text), F.lit(LETTER)), F.lit(max_text_bytes // 4)))  # a character has four bytes at most
+    rows = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(text).alias("th"), begun.alias("text")).join(ids, ["key", "lang", "th"])
+    return train([(r.lang, r.text) for r in rows.groupBy("lang", "key").agg(F.first("text").alias("text")).collect()])
 
 
 class Labeller:
     def __init__(self, model: Model, switch_penalty: float = 12.0, scale: float = 0.5):
         self.model, self.penalty, self.scale = model, switch_penalty, scale
-        self.out = np.where(model.allowed, 0.0, -50.0)
-        self.out[~model.allowed.any(1)] = 0.0
+        self.narrowed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _candidates(self, script: int) -> tuple[np.ndarray, np.ndarray]:
+        """The languages that use a script, and their n-gram weights."""
+        if script not in self.narrowed:
+            mine = np.flatnonzero(self.model.allowed[script])
+            every = len(mine) == len(self.model.languages)
+            self.narrowed[script] = mine, self.model.weights if every else np.ascontiguousarray(self.model.weights[:, mine])
+        return self.narrowed[script]
 
     def word_scores(self, words: Words) -> np.ndarray:
-        """Word by language.  A word of a script that no language uses scores zero for all."""
-        if not len(words.starts):
-            return np.zeros((0, len(self.model.languages)))
-        letters = self.model.weights[words.hashes[0]]
-        for h in words.hashes[1:]:
-            letters += self.model.weights[h]
-        known = self.model.allowed.any(1)[words.script]
-        return np.where(known[:, None], np.add.reduceat(letters, words.starts, axis=0) * self.scale + self.out[words.script], 0.0).astype(np.float64)
+        """Word by language: minus infinity where the script rules a language out, zero for all where it rules all out."""
+        n = len(self.model.languages)
+        table = np.full((len(words.starts), n), -np.inf)
+        sizes = np.diff(np.append(words.starts, len(words.hashes[0])))
+        for script in np.unique(words.script).tolist():
+            which = np.flatnonzero(words.script == script)
+            mine, weights = self._candidates(script)
+            if not len(mine):
+                table[which] = 0.0
+                continue
+            bounds = np.cumsum(sizes[which])
+            at = 0
+            while at < len(which):
+                end = max(at + 1, int(np.searchsorted(bounds, (bounds[at - 1] if at else 0) + SCORED // len(mine), side="right")))
+                some = which[at:end]
+                long = sizes[some]
+                first = np.cumsum(long) - long
+                letter = np.repeat(words.starts[some] - first, long) + np.arange(int(long.sum()))
+                scores = weights[words.hashes[0][letter]]
+                for h in words.hashes[1:]:
+                    scores += weights[h[letter]]
+                table[some[:, None], mine] = np.add.reduceat(scores, first, axis=0) * self.scale
+                at = end
+        return table
 
     def label(self, given: list[str | None], spans: bool = True) -> tuple[list[str], list[float], list[list[dict]]]:
         """For each text: its language, the score, and (if asked for) spans (start, end, lang) over code points."""
+        out: tuple[list[str], list[float], list[list[dict]]] = ([], [], [])
+        most, at = DECODED // max(1, len(self.model.languages)), 0
+        while at < len(given):
+            end, size = at + 1, len(given[at] or "")
+            while end < len(given) and size + len(given[end] or "") <= most:
+                size += len(given[end] or "")
+                end += 1
+            for whole, part in zip(out, self._label(given[at:end], spans)):
+                whole += part
+            at = end
+        return out
+
+    def _label(self, given: list[str | None], spans: bool) -> tuple[list[str], list[float], list[list[dict]]]:
         n, size = len(self.model.languages), len(given)
         langs, scores, found = ["und"] * size, [0.0] * size, [[] for _ in range(size)]
-        words = words_of(given) if n else None
+        words = words_of(given, self.model.bits) if n else None
         if words is None or not len(words.starts):
             return langs, scores, found
         table = self.word_scores(words)
         path = self._viterbi(table, words.doc)
         has, begin = np.unique(words.doc, return_index=True)
         letters = np.bincount(words.doc * n + path, weights=words.last - words.first, minlength=size * n).reshape(size, n)[has]
-        evidence = np.add.reduceat(table, begin, axis=0)
+        evidence = np.add.reduceat(np.maximum(table, RULED_OUT), begin, axis=0)
         evidence = np.exp(np.clip(evidence - evidence.max(1, keepdims=True), -50, 0))
         best = letters.argmax(1)
         row = np.arange(len(has))

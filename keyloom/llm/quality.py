@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import in_batches, texts
+from keyloom.llm.common import in_batches, lowest, stored, texts
 
 
 @dataclass(frozen=True)
@@ -91,31 +91,26 @@ def fit(
     block: int = 1024,
     level: int = 3,
 ) -> Model:
-    """Learns from at most ``sample_rows`` rows of each label, those whose key hashes lowest.
-
-    That bound, and ``max_text_bytes`` for one training text, hold the sample that
-    reaches the driver to a fixed size at any corpus size; longer texts are scored
-    whole but train nothing.  ``learn_from`` is the condition (over the key) that a
-    row may be learned from.  Class shares come from all labels that fulfil it.
+    """Learns from at most ``sample_rows`` different texts of each label, those that hash lowest.
+
+    Labels are first brought together with the documents that have a usable text, so
+    labels without one do not shrink the sample, and copies of a text count once, so
+    that none is in the dictionary and among the rows of the curve.  That bound, and
+    ``max_text_bytes`` for one training text, hold the sample that reaches the driver to
+    a fixed size at any corpus size; longer texts are scored whole but train nothing.
+    ``learn_from`` is the condition (over the key) that a row may be learned from.
+    Class shares come from all labels that fulfil it.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label).where(learn_from).distinct()
     counts = {r[0]: r[1] for r in usable.groupBy(label).count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
-    order = F.xxhash64(F.col(key))
-    ids = None
-    for side in (0, 1):
-        part = usable.where(F.col(label) == side).orderBy(order, key).limit(sample_rows)
-        ids = part if ids is None else ids.unionByName(part)
-    rows = (
-        docs.select(key, text)
-        .where(F.col(key).isNotNull() & (F.length(F.col(text)) > 0) & (F.octet_length(F.col(text)) <= max_text_bytes))
-        .join(F.broadcast(ids), key)  # at most two sample_rows of ids
-        .select(key, label, text)
-        .dropDuplicates([key, label])
-        .collect()
-    )
-    rows.sort(key=lambda r: (str(r[0]), r[1]))
+    given = docs.where(F.col(key).isNotNull() & (F.length(F.col(text)) > 0) & (F.octet_length(F.col(text)) <= max_text_bytes))
+    given = given.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    labelled = given.select("key", "th").join(usable.select(F.col(key).alias("key"), F.col(label).alias("label")), "key")
+    ids = stored(lowest(labelled, "label", "th", sample_rows).groupBy("label", "th").agg(F.min("key").alias("key")), "quality-sample")
+    rows = given.join(ids, ["key", "th"]).groupBy("label", "th").agg(F.first("text").alias("text")).select("th", "label", "text").collect()
+    rows.sort(key=lambda r: (r[0], r[1]))
     sides = {s: [r[2].encode("utf-8", "surrogatepass") for r in rows if r[1] == s] for s in (0, 1)}
     if not all(sides.values()):
         return Model(b"", b"", (), share, block, level)

@@ -62,3 +62,54 @@ def test_every_language_is_learned(spark, monkeypatch):
     model = langid.fit(df, F.lit(True))
     assert set(model.languages) == {r[2] for r in rows}
     assert langid.Labeller(model).label([text(rng, "ru", 9)])[0] == ["ru"]
+
+
+def test_scans_do_not_grow_with_languages_and_a_repeated_key_is_one_row(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} ab{i} " * 6, f"l{i:03d}") for i in range(600)]
+    jobs = []
+    for n in (2, 600):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string, lang string").union(spark.range(1000).select(F.col("id") + 1000, F.lit(text(rng, "de", 9)), F.lit("de")))
+        spark.sparkContext.setJobGroup(f"fit{n}", "")
+        model = langid.fit(df, F.lit(True))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit{n}")))
+        spark.sparkContext.setJobGroup("none", "")
+        assert len(model.languages) == n + 1
+    assert jobs[1] <= jobs[0] + 2
+    assert model.weights.nbytes <= langid.MODEL_BYTES
+    assert langid.Labeller(model).label([rows[77][1], rows[500][1]])[0] == ["l077", "l500"]
+    seen = {}
+    monkey = langid.train
+    try:
+        langid.train = lambda rows: seen.setdefault("rows", rows) and monkey(rows)
+        repeated = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("der hund "), (F.col("id") % 50).cast("string")).alias("text"), F.lit("de").alias("lang"))
+        langid.fit(repeated.union(spark.createDataFrame([(i, f"the dog {i}", "en") for i in range(2000)], "doc_id long, text string, lang string")), F.lit(True))
+    finally:
+        langid.train = monkey
+    assert sum(lang == "de" for lang, _ in seen["rows"]) == 1 and 1000 < sum(lang == "en" for lang, _ in seen["rows"]) <= 1500
+
+
+def test_scores_and_labels_against_a_plain_version():
+    """Word by word and text by text: every n-gram of every language looked up by itself, and the best of all label sequences."""
+    from itertools import product
+
+    rng = random.Random(7)
+    model = langid.train([(lang, text(rng, lang, 30)) for lang in WORDS for _ in range(4)])
+    labeller = langid.Labeller(model, 3.0)
+    for _ in range(12):
+        given = " ".join(rng.choice(WORDS[rng.choice(list(WORDS))]) for _ in range(rng.randrange(1, 8)))
+        words = langid.words_of([given], model.bits)
+        ends = [*words.starts[1:], len(words.hashes[0])]
+        plain = []
+        for k, (a, b) in enumerate(zip(words.starts, ends)):
+            sums = [sum(float(model.weights[h[i], n]) for h in words.hashes for i in range(a, b)) * 0.5 for n in range(3)]
+            plain.append([x if model.allowed[words.script[k], n] else -np.inf for n, x in enumerate(sums)])
+        assert np.allclose(labeller.word_scores(words), plain, atol=1e-4)
+        score = lambda p: sum(plain[i][s] for i, s in enumerate(p)) - 3.0 * sum(x != y for x, y in zip(p, p[1:]))  # noqa: B023, E731
+        best = max(product(range(3), repeat=len(plain)), key=score)
+        letters = [sum(int(words.last[i] - words.first[i]) for i, s in enumerate(best) if s == n) for n in range(3)]
+        langs, scores, spans = labeller.label([given])
+        assert langs[0] == model.languages[letters.index(max(letters))] and 0 <= scores[0] <= 1
+        assert [given[s["start"] : s["end"]] for s in spans[0]] and all(s["lang"] in model.languages for s in spans[0])
+        for s in spans[0]:  # a script that a language does not use never gets its label
+            assert not (s["lang"] == "ru" and any("a" <= c <= "z" for c in given[s["start"] : s["end"]]))

@@ -64,3 +64,52 @@ def test_tiny_texts_are_learned_from(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "!")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in quality.with_scores(docs, quality.fit(docs, labels, F.lit(True))).collect())
+
+
+def test_labels_without_documents_and_copies_do_not_shrink_the_sample(spark):
+    given, marks = rows(80)
+    copies = [(1000 + k, given[4][1]) for k in range(300)]  # of a bad one
+    docs = spark.createDataFrame([*given, *copies], "doc_id long, text string")
+    labels = spark.createDataFrame([*marks, *[(1000 + k, 0) for k in range(300)], *[(5000 + k, k % 2) for k in range(500)]], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.with_scores(docs, quality.fit(docs, labels, F.lit(True), sample_rows=60)).collect()}
+    good, bad = ([got[i] for i, _ in given if (i % 4 == 0) == side] for side in (False, True))
+    assert min(good) > max(bad)
+
+
+def test_query_against_a_plain_version(spark):
+    """The sample, both dictionaries, the features and the curve written out anew, without Spark."""
+    import zlib
+
+    import numpy as np
+    import zstandard
+
+    given, marks = rows(200)
+    docs, labels = spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    learned = {i for i, _ in given if zlib.crc32(str(i).encode()) % 5}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    label = dict(marks)
+    side = {s: [t.encode() for _, t in sorted((hashes[i], t) for i, t in given if i in learned and label[i] == s)] for s in (0, 1)}
+    share = sum(label[i] for i in learned) / len(learned)
+    pieces = {s: [t[i : i + 1024] for t in x[::2] for i in range(0, len(t), 1024)] for s, x in side.items()}
+    dictionary = {s: zstandard.train_dictionary(max(256, min(112640, sum(map(len, x)) // 4)), x) for s, x in pieces.items()}
+
+    def size(text, s):
+        c = zstandard.ZstdCompressor(dict_data=dictionary[s], level=3, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(c.compress(text[i : i + 1024])) for i in range(0, len(text), 1024))
+
+    def terms(text):
+        good, bad = size(text, 1), size(text, 0)
+        d, r = (bad - good) / max(good, bad), min(good / len(text), 1.5)
+        return [1, d, r, d * r, d * d, r * r]
+
+    x = np.array([terms(t) for s in (0, 1) for t in side[s][1::2]])
+    y = np.array([s for s in (0, 1) for _ in side[s][1::2]], dtype=float)
+    w = np.array([(share if s else 1 - share) / len(side[s][1::2]) for s in (0, 1) for _ in side[s][1::2]]) * len(y)
+    beta = np.zeros(6)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve((x.T * (w * p * (1 - p))) @ x + 1e-3 * np.eye(6), x.T @ (w * (y - p)) - 1e-3 * beta)
+    want = {i: 1 / (1 + np.exp(-np.array(terms(t.encode())) @ beta)) for i, t in given}
+    got = quality.with_scores(docs, quality.fit(docs, labels, ~held_out())).collect()
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-5 and r.predicted == int(r.score >= 0.3)
