@@ -49,9 +49,10 @@ class Page:
     data: bytes  # rows from the top, samples of a pixel together, in the machine's (little-endian) order; a byte for each of 1, 2 or 4 bits
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """Stops once there are ``most`` bytes, as all decoders do: damaged data may swell without end."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (most is None or len(out) < most):
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -83,11 +84,11 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
     """Most significant bit first; a width grows one code early, as TIFF writers do."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, width, previous, out = list(first), 9, None, []
-    bits = have = 0
+    bits = have = size = 0
     for byte in data:
         bits = (bits << 8) | byte
         have += 8
@@ -114,6 +115,9 @@ def lzw_decode(data: bytes) -> bytes:
             if len(table) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(entry)
+        size += len(entry)
+        if most is not None and size >= most:
+            break
         previous = entry
     return b"".join(out)
 
@@ -158,7 +162,19 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-_DECODERS = {NONE: bytes, PACKBITS: unpack_bits, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+def inflate(data: bytes, most: int | None = None) -> bytes:
+    if most is None:
+        return zlib.decompress(data)
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, max(1, most))
+    if not stream.eof:
+        stream.decompress(stream.unconsumed_tail, 1)  # reads, and tests, the checksum where the data end here
+    return out
+
+
+_DECODERS = {NONE: lambda data, most: data, PACKBITS: unpack_bits, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate}
+#: No decoder makes more bytes of one (LZW comes nearest), so larger pages are damaged ones.
+SWELL = 1500
 _ENCODERS = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 6)}
 
 
@@ -269,11 +285,17 @@ def _page(media: bytes, tags: dict[int, tuple], order: str) -> Page:
     tiled = 322 in tags
     w, h = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
     starts, sizes = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
+    if not w or not h or not planes or min(w, h, planes) < 0:
+        raise TiffError("a strip, tile or pixel has no size")
     across, down = -(-width // w), -(-height // h)
     if not starts or not sizes or len(starts) < across * down * (planes if separate else 1) or len(sizes) < len(starts):
         raise TiffError("strips or tiles are missing")
-    image = np.empty((height, width, planes), dtype=kind)
     step = planes if separate else 1
+    row_bytes = -(-w * (planes // step) * bits // 8)
+    cells = across * down * step
+    if row_bytes * h * cells > SWELL * (sum(min(s, len(media)) for s in sizes[:cells]) + 64):
+        raise TiffError(f"{len(media)} bytes cannot hold a page of {width} x {height} x {planes}")
+    image = np.empty((height, width, planes), dtype=kind)
     for k in range(across * down * step):
         plane, cell = divmod(k, across * down)
         y, x = (cell // across) * h, (cell % across) * w
@@ -281,7 +303,7 @@ def _page(media: bytes, tags: dict[int, tuple], order: str) -> Page:
         if starts[k] + sizes[k] > len(media):
             raise TiffError("a strip or tile lies beyond the end")
         packed = media[starts[k] : starts[k] + sizes[k]]
-        raw = _DECODERS[compression](packed.translate(_MIRRORED) if bits < 8 and one(266, 1) == 2 else packed)
+        raw = _DECODERS[compression](packed.translate(_MIRRORED) if bits < 8 and one(266, 1) == 2 else packed, row_bytes * rows)
         part = _undo(raw, predictor, w, rows, 1 if separate else planes, bits, order)[: height - y, : width - x]
         image[y : y + rows, x : x + w, plane : plane + 1 if separate else planes] = part
     return Page(width, height, planes, bits, compression, image.tobytes())

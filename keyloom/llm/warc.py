@@ -11,7 +11,8 @@ Writers name files afresh on each attempt and list them only when their task is
 done, so a lost executor leaves files that no list names.  A null payload is
 empty.  Equal payloads of at least ``min_payload`` bytes are written once, in the
 record with the largest id; the others are ``revisit`` records.  Repeated ids with
-that largest id are all responses.  Control characters in a URL are percent-encoded;
+that largest id are all responses.  A null id is written as an empty one and read back
+as null; it is less than any other, and where equal payloads have no other all are responses.  Control characters in a URL are percent-encoded;
 a null URL is ``urn:page:<id>``.
 """
 
@@ -40,11 +41,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: int) -> str:
-    return f"<urn:page:{page}>"
+def record_id(page: int | None) -> str:
+    return f"<urn:page:{'' if page is None else page}>"
 
 
-def record(page: int, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
     """A response record, or with ``refers_to`` a revisit, whose block keeps only the HTTP header."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
@@ -267,8 +268,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return in_batches(index.select("archive", "offset", "length"), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", make)
 
 
-def _page(uri: str) -> int:
-    return int(uri.strip("<>").rpartition(":")[2])
+def _page(uri: str) -> int | None:
+    number = uri.strip("<>").rpartition(":")[2]
+    return int(number) if number else None
 
 
 def with_revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
@@ -277,7 +279,7 @@ def with_revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     keyed = pages.select("page_id", "url", body.alias("html"), F.sha1(body.cast("binary")).alias("_digest"))
     groups = keyed.where(F.octet_length("html") >= min_payload).groupBy("_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1")
     joined = keyed.join(groups.select("_digest", "_last"), "_digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("_last") != F.col("page_id"), F.col("_last")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(~F.col("_last").eqNullSafe(F.col("page_id")), F.col("_last")).alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = 128 << 20, min_payload: int = 0) -> DataFrame:

@@ -104,3 +104,61 @@ def test_samples_of_less_than_a_byte(bits, compression, mirrored):
     media = b"II*\0" + (8 + len(raw)).to_bytes(4, "little") + raw + directory
     (page,) = tiff.pages(media)
     assert (page.bits, page.data) == (bits, image.tobytes())
+
+
+def test_corrupt_files_give_pages_or_errors_and_nothing_else(spark):
+    rng = np.random.default_rng(11)
+    images = [rng.integers(0, 4, (20, 30, 3)).astype(np.uint8), np.zeros((16, 16), dtype=np.uint8)]
+    media = []
+    for k in range(3000):
+        compression, tile = [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE][k % 4], [None, (16, 16)][k // 4 % 2]
+        raw = bytearray(tiff.write(images, compression, 1 + k % 2, 5, tile))
+        for at in rng.integers(0, len(raw), 3):
+            raw[at] = rng.integers(0, 256)
+        media.append(bytes(raw))
+    for raw in media:
+        found = list(tiff.attempts(raw))
+        assert found and all(isinstance(p, (tiff.Page, *tiff.DAMAGE)) for p in found)
+    df = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(media[:300])], "doc_id long, media binary")
+    got = tiff.with_pages(df).collect()
+    assert {r.doc_id for r in got} == set(range(300))
+    assert all((r.samples is None) == (r.error is not None) for r in got)
+
+
+@pytest.mark.parametrize("changes", [{278: 0}, {256: 1 << 31, 257: 1 << 30}, {277: 0}, {322: 0, 323: 16, 324: 8, 325: 64}, {322: 16, 323: 0, 324: 8, 325: 64}, {257: 1 << 31}])
+def test_senseless_sizes_are_errors_and_take_no_memory(changes):
+    (found,) = tiff.attempts(_one_page_with(changes))
+    assert isinstance(found, tiff.TiffError)
+
+
+def _one_page_with(changes):
+    tags = {256: 13, 257: 5, 258: 8, 259: 1, 262: 1, 273: 8, 277: 1, 278: 5, 279: 65} | changes
+    directory = len(tags).to_bytes(2, "little") + b"".join(t.to_bytes(2, "little") + b"\4\0\1\0\0\0" + v.to_bytes(4, "little") for t, v in sorted(tags.items())) + bytes(4)
+    return b"II*\0" + (8 + 66).to_bytes(4, "little") + bytes(66) + directory
+
+
+def test_data_that_swell_are_cut_at_the_page():
+    image = np.zeros((64, 64), dtype=np.uint8)
+    for compression in (tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        large = tiff._ENCODERS[compression](bytes(5_000_000))
+        assert len(tiff._DECODERS[compression](large, 4096)) < 4096 + 4096
+        (page,) = tiff.pages(tiff.write([image], compression))
+        assert page.data == image.tobytes()
+    broken = bytearray(zlib.compress(bytes(range(64))))
+    broken[-1] ^= 1
+    with pytest.raises(zlib.error):
+        tiff.inflate(bytes(broken), 64)
+
+
+def test_feature_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    for rows in (1, 2, 7, 8, 9, 31, 100):
+        raw = rng.integers(0, 256, rows * 64).astype(np.uint8).tobytes()
+        mean, bits = sum(raw) / len(raw), ""
+        for i in range(8):
+            first, last = int(i * rows / 8), int((i + 1) * rows / 8)
+            mine = range(first, last) if last > first else [min(first, rows - 1)]
+            for j in range(8):
+                cell = [raw[y * 64 + x] for y in mine for x in range(8 * j, 8 * j + 8)]
+                bits += str(int(sum(cell) / len(cell) > mean))
+        assert tiff.average_hash(raw, 64) == f"{int(bits, 2):016x}"

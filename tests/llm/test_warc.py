@@ -61,3 +61,10 @@ def test_all_forms_are_read(form):
     with pytest.raises(ValueError):
         list(warc.split(io.BytesIO(data[: len(data) * 2 // 3])))
     assert list(warc.split(io.BytesIO(b""))) == []
+
+
+def test_null_ids(spark):
+    rows = [(None, "u", "same"), (4, "u", "same"), (None, None, "alone"), (None, "v", "alone"), (None, "w", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=repr)
+    assert got == sorted([(None, 4, "revisit", 4), (4, 4, "response", None), (None, 5, "response", None), (None, 5, "response", None), (None, 0, "response", None)], key=repr)
