@@ -112,7 +112,7 @@ def _urls_sql() -> str:
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for h, p, _ in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
     )
     verdicts = " ".join(f"WHEN '{h + p}' THEN '{v}'" for h, p, v in RULES)
-    two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+    two = f"regexp_matches(last2, '{urls.TWO_LABELS}')"
     return f"""WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 raw AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM rest),
 split AS (SELECT page_id, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM raw),
@@ -123,8 +123,8 @@ named AS (SELECT host, coalesce(good, 0) AS good, coalesce(n, 0) AS n, regexp_re
           FROM (SELECT DISTINCT host FROM ruled WHERE rule IS NULL) h FULL JOIN counted USING (host)),
 labelled AS (SELECT *, string_split(name, '.') AS x, array_to_string(string_split(name, '.')[-2:], '.') AS last2 FROM named),
 every AS (SELECT host, good, n,
-    CASE WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN name WHEN last2 IN ({two}) THEN array_to_string(x[-3:], '.') ELSE last2 END AS domain,
-    CASE WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN '(address)' WHEN last2 IN ({two}) THEN last2 ELSE x[-1] END AS suffix FROM labelled),
+    CASE WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN name WHEN {two} THEN array_to_string(x[-3:], '.') ELSE last2 END AS domain,
+    CASE WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN '(address)' WHEN {two} THEN last2 ELSE x[-1] END AS suffix FROM labelled),
 total AS (SELECT CASE WHEN sum(n) > 0 THEN CAST(sum(good) AS DOUBLE) / sum(n) ELSE 0.5::DOUBLE END AS overall FROM every),
 by_suffix AS (SELECT suffix, sum(good) AS good, sum(n) AS n, any_value(overall) AS overall FROM every, total GROUP BY suffix),
 {_strength('m1', 'by_suffix', 'overall')},

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,8 +50,6 @@ def test_every_page_is_judged(spark):
     got = urls.judge(pages, none, queries.RULES).collect()
     assert len(got) == len(URLS) + 1 and {r.verdict for r in got} <= {"allow", "block"}
     assert urls.judge(pages.limit(0), none, []).count() == 0
-    with pytest.raises(ValueError):
-        urls.rule_for(F.lit(""), F.lit(""), [("a", "/", "allow")] * (urls.MAX_RULES + 1))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
@@ -64,3 +63,43 @@ def test_query_against_sql(spark):
     rel = con.sql(queries.oracle_sql()["op8_urls"])
     got = sorted((tuple(r[c] for c in rel.columns) for r in queries.op8_urls(spark, sf).collect()), key=str)
     assert got == sorted(rel.fetchall(), key=str)
+
+
+def test_joined_rules_are_those_of_the_expression(spark):
+    rng = random.Random(4)
+    names = ["a", "b.a", "c.b.a", "x.b.a", "d", "ad"]
+    rules = [(rng.choice(names), "/" + "".join(rng.choices("xy/", k=rng.randrange(4))), rng.choice(["allow", "block"])) for _ in range(40)]
+    pages = [(i, f"http://{rng.choice(names)}/{''.join(rng.choices('xy/', k=rng.randrange(6)))}", 1) for i in range(300)]
+    pages += [(900, None, 1), (901, "none", 1), (0, pages[0][1], 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, rule int")
+    none = spark.createDataFrame([], "host string, good int")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = sorted(map(tuple, urls.judge(df, none, rules).collect()), key=repr)
+    assert sorted(map(tuple, urls.judge(df, none, table).collect()), key=repr) == want
+    for r in urls.judge(df, none, table).collect():
+        fits = [(len(h + p), h, p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert r.rule == ("".join(max(fits)[1:3]) if fits else None)
+
+
+def test_a_hundred_thousand_rules(spark):
+    rules = [(f"h{i % 1000}.org", f"/{i}/", "block" if i % 2 else "allow") for i in range(100_000)]
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('http://www.h', id % 1500, '.org/', id, '/x') as url")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, spark.createDataFrame([], "host string, good int"), rules).collect()}
+    assert len(got) == 3000
+    for i, (rule, verdict) in got.items():
+        if i % 1500 < 1000 and i % 1000 == i % 1500:
+            assert (rule, verdict) == (f"h{i % 1000}.org/{i}/", "block" if i % 2 else "allow")
+        else:
+            assert rule is None
+
+
+def test_suffixes_by_rule_and_from_a_table(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("x.com.ar", "y.com.ar", "www.x.co.uk", "a.b.blogs.example", "c.d.example", "net", "")], "host string")
+    outcomes = spark.createDataFrame([("x.com.ar", 1)] * 50 + [("y.com.ar", 0)] * 50, "host string, good int")
+    domain = hosts.select("host", urls._levels(F.col("host"))[1].alias("d"), urls._levels(F.col("host"))[2].alias("s"))
+    assert {r.host: (r.d, r.s) for r in domain.collect()} == {"x.com.ar": ("x.com.ar", "com.ar"), "y.com.ar": ("y.com.ar", "com.ar"), "www.x.co.uk": ("x.co.uk", "co.uk"), "a.b.blogs.example": ("blogs.example", "example"), "c.d.example": ("d.example", "example"), "net": ("net", "net"), "": ("", "")}
+    listed = urls._listed(hosts, spark.createDataFrame([("blogs.example",), ("example",)], "suffix string"))
+    got = {r.host: (r.d, r.s) for r in listed.select("host", urls._levels(F.col("host"), F.col("_listed"))[1].alias("d"), urls._levels(F.col("host"), F.col("_listed"))[2].alias("s")).collect()}
+    assert got["a.b.blogs.example"] == ("b.blogs.example", "blogs.example") and got["c.d.example"] == ("d.example", "example") and got["x.com.ar"] == ("x.com.ar", "com.ar")
+    known = {r.host: r.mean for r in urls.reputation(outcomes, hosts, suffixes=spark.createDataFrame([("blogs.example",)], "suffix string")).collect()}
+    assert known["x.com.ar"] > 0.8 > 0.2 > known["y.com.ar"]
