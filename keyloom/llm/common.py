@@ -96,5 +96,30 @@ def lowest(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
     return ranked.where(F.col("_rank") <= most).drop("_keys", "_rank")
 
 
+#: Hot keys that there may be for each partition.
+_HOT = 8
+
+
+def spread(large: DataFrame, small: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``large`` joined to ``small`` on ``on``, the rows of hot keys dealt to all tasks; both are stored tables.
+
+    small has each key once, with the count ``n`` of its rows in ``large``, whose rows are
+    ``total``.  A key is hot if it has more than an eighth of a partition's even share
+    of rows, and never below 2,000; so there are at most eight for each partition, which
+    bounds what is broadcast and how often a row of ``small`` is repeated.
+    """
+    parts = partitions(large.sparkSession)
+    hot = small.where(F.col(n) > max(2000, total // (_HOT * parts))).select(*on, F.lit(True).alias("_hot"))
+    rest = small.drop(n)
+    if hot.isEmpty():
+        return large.join(rest, on)
+    hot = F.broadcast(hot)  # at most _HOT keys a partition
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*large.columns), F.lit(parts))).otherwise(F.lit(0))
+    repeated = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    left = large.join(hot, on, "left").withColumn("_part", dealt.cast("int")).drop("_hot")
+    right = rest.join(hot, on, "left").withColumn("_part", F.explode(repeated)).drop("_hot")
+    return left.join(right, [*on, "_part"]).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

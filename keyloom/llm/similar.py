@@ -118,11 +118,6 @@ def _plausible(least: float) -> Column:
     return differ <= most
 
 
-def _first_shared() -> Column:
-    """Whether no table before this one has the two in one bucket."""
-    return F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.t") + 1
-
-
 def _candidates(x: DataFrame, y: DataFrame, least: float, *which: Column) -> DataFrame:
     """Distinct plausible pairs (a < b) within the buckets for which ``which`` holds."""
     which = reduce(Column.__and__, [which[0], _plausible(least), *which[1:]])
@@ -130,13 +125,13 @@ def _candidates(x: DataFrame, y: DataFrame, least: float, *which: Column) -> Dat
     return pair.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text", few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all rows, ``node, component`` for the nodes that have a link)."""
+def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text", few: int = FEW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches of all rows, nodes with their smallest (key, text hash) ``p``, ``node, component`` for the nodes that have a link)."""
     rows = stored(sketches(docs, shingle, key, text), "sketches")
-    nodes = stored(rows.drop(key).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "keys")], F.min("th").alias("th")), "nodes")
+    nodes = stored(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "keys")], F.min(F.struct(key, "th")).alias("p")), "nodes")
     keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["t", "k"]).join(nodes.select("node", "fp", "sketch", "keys"), "node")
+    shared = keyed.join(sizes, ["t", "k"]).join(nodes.select("node", "fp", "sketch"), "node")
     shared = stored(shared, "near-buckets")
     small, large = shared.where(F.col("n") <= few), shared.where(F.col("n") > few)
     majority = large.groupBy("t", "k").agg(F.count("*").alias("m"), *[F.sum(F.shiftright("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)])
@@ -147,7 +142,7 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "d
     pairs = _candidates(small, small, least, F.col("x.node") < F.col("y.node")).unionByName(_candidates(hubs, large, least, F.col("x.node") != F.col("y.node")))
     given = docs.select(F.col(text).alias("_text"), key)
     tried = stored(pairs.distinct(), "near-pairs")
-    links = stored(verified(tried, given, rows, nodes, shingle, least, key), "verified")
+    links = stored(verified(tried, given, nodes, shingle, least, key), "verified")
     found = components(links)
     most, asked = large.agg(F.max("n")).first()[0] or 0, PIVOTS
     outside = None
@@ -162,25 +157,24 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "d
         last = asked >= most or before is not None and outside > 0.9 * before  # more members hardly help: what is left is alone
         if last:
             apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-            more = _candidates(rest, named, least, apart, _first_shared())
+            more = _candidates(rest, named, least, apart)
         else:
             more = _candidates(rest, named.where((F.col("c") == F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("n")) < asked)), least, F.lit(True))
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        new = stored(verified(more, given, rows, nodes, shingle, least, key), "verified")
+        new = stored(verified(more, given, nodes, shingle, least, key), "verified")
         if not new.isEmpty():
             links = links.unionByName(new)
             found = components(links)
         if last:
             break
         tried, asked = tried.unionByName(more), asked * 16
-    return rows, found
+    return rows, nodes, found
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, least: float, key: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, least: float, key: str) -> DataFrame:
     """The (stored) pairs of nodes whose shingle sets are at least that similar.  Only texts of such nodes are read again, one for each node."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = rows.join(nodes.select("node", F.col("th").alias("_th")), "node").where("th = _th").join(wanted, "node", "left_semi")
-    places = places.groupBy("node").agg(F.min(F.struct(key, "th")).alias("p")).select(F.col(f"p.{key}").alias("_key")).distinct()
+    places = nodes.join(wanted, "node", "left_semi").select(F.col(f"p.{key}").alias("_key")).distinct()
     texts_of = docs.join(places, docs[key].eqNullSafe(F.col("_key")), "left_semi")
     sets = stored(shingle_sets(texts_of, shingle, "_text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -190,9 +184,9 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, nodes: DataFram
 
 def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near duplicates: one row of each class, with all columns."""
-    rows, found = classes(docs, shingle, least, key, text)
-    named = rows.join(found, "node", "left").select(key, "th", F.coalesce("component", "node").alias("component"))
-    kept = named.groupBy("component").agg(F.min(F.struct(key, "th")).alias("p"))
+    rows, nodes, found = classes(docs, shingle, least, key, text)
+    named = nodes.select("node", "p").join(found, "node", "left").select("p", F.coalesce("component", "node").alias("component"))
+    kept = named.groupBy("component").agg(F.min("p").alias("p"))
     kept = stored(kept.select(F.col(f"p.{key}").alias("_key"), F.col("p.th").alias("_th")).distinct(), "kept-documents")
     own = [c for c in docs.columns]
     schema = T.StructType([*docs.schema.fields, T.StructField("_th", T.LongType())])

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import dropped, in_batches, partitions, stored, texts, values
+from keyloom.llm.common import dropped, in_batches, partitions, spread, stored, texts, values
 
 LENGTH = 200
 GRAM = 80
@@ -216,13 +216,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ma
         return each
 
     every = stored(in_batches(given, "h long, tag long, anchor long, seg long, first long, last long, lead long", make_segments), "segments")
-    # stored, so that the join below has a shuffle on either side and can be split where an anchor is hot
-    again = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
-    shared = stored(every.join(again, "anchor"), "shared-segments")
+    again = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
+    total = every.count()
+    shared = stored(spread(every, again, ["anchor"], "n", total), "shared-segments")
     dropped(every, again)
     kinds = stored(shared.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("h", "tag", "first", "last", "lead")).alias("at")), "segment-kinds")
-    copied = stored(kinds.where("copies > 1").select("anchor", "seg"), "copied-segments")
-    whole = shared.join(copied, ["anchor", "seg"]).select("h", "tag", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    copied = stored(kinds.where("copies > 1").select("anchor", "seg", "copies"), "copied-segments")
+    whole = spread(shared, copied, ["anchor", "seg"], "copies", total).select("h", "tag", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     mixed = _mixed(kinds).select("anchor")
     wanted = kinds.join(mixed, "anchor").select("at.*", "anchor", "seg", "copies")
     listed = wanted.groupBy("h", "tag").agg(F.collect_list(F.struct("anchor", "seg", "copies", "first", "last", "lead")).alias("wanted"))

@@ -143,3 +143,52 @@ def test_fingerprints_of_null_keys_link_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "with_fingerprints", fake)
     got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()}
     assert [got[f"{prints[t]:016x}"] for t in "abcd"] == [2, 2, 2, None]
+
+
+def near_pairs():
+    """Pairs at similarities from 0.80 to 0.85 of texts of 60 to 160 words, and the same from just below 0.8."""
+    rng, rows, pairs = random.Random(21), [], []
+    for n in range(400):
+        size = rng.randrange(60, 160)
+        w = [f"{n}.{i}" for i in range(size)]
+        least = 0.80 if n % 4 else 0.74
+        whole = size - 4
+        # an edited tail of e words changes e shingles on either side
+        e = next(e for e in range(1, size) if (whole - e) / (whole + e) < least + (0.05 if n % 4 else 0.04))
+        while n % 4 and (whole - e) / (whole + e) < 0.8:
+            e -= 1
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(w[: size - e] + [f"e{n}.{i}" for i in range(e)]))]
+        pairs.append((whole - e) / (whole + e))
+    return rows, pairs
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    rows, pairs = near_pairs()
+    asked = [n for n, x in enumerate(pairs) if x >= 0.8]
+    assert len(asked) == 300 and max(pairs[n] for n in asked) < 0.86
+    kept = {r.doc_id for r in similar.one_of_each(docs(spark, rows)).collect()}
+    found = sum(2 * n + 1 not in kept for n in asked)
+    assert found >= 0.99 * len(asked)  # 0.9996 of them by the bands' probabilities
+    assert all({2 * n, 2 * n + 1} <= kept for n in range(len(pairs)) if n not in asked)  # none below
+    assert all(2 * n in kept for n in asked)
+
+
+@pytest.mark.parametrize("few", [24, 4])
+def test_recall_on_a_large_planted_group(spark, few, monkeypatch):
+    """Some hundred variants of one text, many of them less than 0.8 alike, beside families of their own."""
+    rng, rows = random.Random(5), []
+    base = [f"b{i}" for i in range(120)]
+    for i in range(260):
+        w = list(base)
+        for k in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"x{i}.{k}"
+        rows.append((i, " ".join(w)))
+    for f in range(20):
+        w = [f"f{f}.{i}" for i in range(80)]
+        rows += [(1000 + 10 * f + k, " ".join(w[: 78 - k] + [f"g{f}.{k}", "end"])) for k in range(4)]
+    whole = similar.classes
+    monkeypatch.setattr(similar, "classes", lambda *a, **k: whole(*a, few=few, **k))
+    kept = {r.doc_id for r in similar.one_of_each(docs(spark, rows)).collect()}
+    want = jaccard_classes(rows)
+    gone = {i for i, _ in rows} - want
+    assert len(gone - kept) >= 0.99 * len(gone) and want <= kept

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import substrings as S
 
@@ -82,3 +83,19 @@ def test_stage_keeps_columns_and_whole_characters(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in S.deduplicated(df).collect()}
     assert got == {1: ("axx end", 7), 2: ("b!", 2), 4: (None, 0), 5: ("clean", 5)}
+
+
+def test_hot_anchors_are_dealt_to_all_tasks(spark):
+    from keyloom.llm.common import spread, stored
+
+    rows = [(k if k < 3 else 9, i, i % 7) for i in range(9000) for k in (i % 5,)]
+    large = stored(spark.createDataFrame(rows, "a long, i long, b long"), "large")
+    small = stored(large.groupBy("a").count().where("a <> 1").withColumn("x", F.col("a") * 2), "small")
+    got = spread(large, small, ["a"], "count", 9000)
+    want = large.join(small.drop("count"), ["a"])
+    assert sorted(map(tuple, got.select("a", "i", "b", "x").collect())) == sorted(map(tuple, want.select("a", "i", "b", "x").collect()))
+    passage = "".join(random.Random(1).choices("abcdefgh ", k=260))
+    texts = [f"{i:06d} {passage}" for i in range(2500)] + ["alone " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.without_repeats(df).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts, 200)
