@@ -4,7 +4,8 @@ A document's token ids are counted into a signed hashed vector, which a fixed
 random matrix projects to four dimensions; normal quantiles of those become a
 Hilbert key.  Documents are sorted by key in range buckets whose bounds are
 approximate quantiles, so that a bucket holds a bounded share even where a third
-of the documents have one key (bits of the id's hash follow the key).  The
+of the documents have one key (bits of the id's hash follow the key).  Buckets and
+tasks are as many as the ids' bytes ask for.  The
 buckets' token counts give each document its place in one long stream, which is
 cut every ``length`` tokens: only the very last sequence can be short.
 
@@ -24,7 +25,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,10 @@ from keyloom.llm.common import in_batches, partitions, stored, values
 
 HASHED, DIMENSIONS, BITS, TIE_BITS = 256, 4, 10, 23
 CACHE_CHUNKS = 300_000
+#: Bytes of ids that a task packs, about; a bucket has an eighth of that.
+TASK_BYTES = 64 << 20
+#: Quantiles that are asked for at once, of the whole and then of each of its parts.
+QUANTILES = 1000
 #: Texts with anything else, or with white space after a space, take the tokenizer's own way.
 _PLAIN = re.compile("[^\n\x20-\x7e\xa1-\xac\xae-ɏͰ-ͳͶ-ͷΑ-ΡΣ-ϿЀ-ҁҊ-ӿ]| [ \n]")
 
@@ -154,6 +159,28 @@ def tokenised(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str |
     return in_batches(docs.select(*dict.fromkeys([key, text])), schema, make)
 
 
+def _bucket(spark: SparkSession, bounds: np.ndarray):
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("long")
+    def bucket(curve: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, curve.to_numpy(), side="right").astype(np.int64))
+
+    return bucket
+
+
+def _bounds(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Approximate quantiles of ``curve``; beyond ``QUANTILES`` buckets those of each of as many parts."""
+    shares = lambda n: [i / n for i in range(1, n)]
+    coarse, fine = min(buckets, QUANTILES), -(-buckets // QUANTILES)
+    first = rows.select(F.percentile_approx("curve", shares(coarse), 20 * coarse)).first()[0] if coarse > 1 else []
+    bounds = np.unique(np.array(first or [], dtype=np.int64))
+    if fine > 1:
+        parts = rows.groupBy(_bucket(rows.sparkSession, bounds)("curve").alias("part")).agg(F.percentile_approx("curve", shares(fine), 20 * fine).alias("more"))
+        bounds = np.unique(np.concatenate([bounds, *(np.array(r.more, dtype=np.int64) for r in parts.select("more").collect())]))
+    return bounds
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -171,17 +198,10 @@ def pack(
     rows = tokenised(docs, tokenizer, ranks, pattern, end_id, key, text)
     place = F.shiftleft("curve", TIE_BITS) + F.xxhash64(F.col(key), F.crc32("ids")).bitwiseAND((1 << TIE_BITS) - 1)
     rows = stored(rows.withColumn("curve", place), "packing-ids")
-    buckets = 8 * n
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = rows.select(F.percentile_approx("curve", shares, 20 * buckets)).first()[0]
-    bounds = np.unique(np.array(bounds or [], dtype=np.int64))
-    shared = spark.sparkContext.broadcast(bounds)  # fewer than eight for each shuffle partition
-
-    @F.pandas_udf("long")
-    def bucket(curve: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, curve.to_numpy(), side="right").astype(np.int64))
-
-    placed = rows.withColumn("bucket", bucket("curve"))
+    held = rows.agg(F.sum(F.octet_length("ids").cast("long"))).first()[0] or 0
+    n = max(n, -(-held // TASK_BYTES))
+    bounds = _bounds(rows, 8 * n)
+    placed = rows.withColumn("bucket", _bucket(spark, bounds)("curve"))  # fewer than eight for each task
     totals = dict(placed.groupBy("bucket").agg(F.sum("doc_tokens")).collect())
     order = sorted(totals)
     base = dict(zip(order, accumulate((totals[b] for b in order), initial=0)))

@@ -79,3 +79,13 @@ def test_neighbours_are_alike(spark):
     order = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
     changes = sum(a % 3 != b % 3 for a, b in zip(order, order[1:]))
     assert changes < 30  # 60 in a random order
+
+
+def test_buckets_follow_the_bytes(spark, encoder, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_BYTES", 2000)
+    monkeypatch.setattr(packing, "QUANTILES", 10)
+    rows = [(i, f"word{i % 97} and {i} more of it, " * (1 + i % 9)) for i in range(400)] + [(1000 + i, "one hot text") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spread = packing._bounds(packing.tokenised(df, *FILES, 1, "doc_id", "text"), 120)
+    assert len(spread) > 40
+    check(rows, packing.pack(df, *FILES, length=128).collect(), encoder, 128)
