@@ -104,12 +104,12 @@ def spread(large: DataFrame, small: DataFrame, on: list[str], n: str, total: int
     """``large`` joined to ``small`` on ``on``, the rows of hot keys dealt to all tasks; both are stored tables.
 
     small has each key once, with the count ``n`` of its rows in ``large``, whose rows are
-    ``total``.  A key is hot if it has more than an eighth of a partition's even share
-    of rows, and never below 2,000; so there are at most eight for each partition, which
-    bounds what is broadcast and how often a row of ``small`` is repeated.
+    ``total``.  A key is hot if it has more than an eighth of a partition's even share of
+    rows; so there are at most eight for each partition, which bounds what is broadcast
+    and how often a row of ``small`` is repeated.
     """
     parts = partitions(large.sparkSession)
-    hot = small.where(F.col(n) > max(2000, total // (_HOT * parts))).select(*on, F.lit(True).alias("_hot"))
+    hot = small.where(F.col(n) > max(1, total // (_HOT * parts))).select(*on, F.lit(True).alias("_hot"))
     rest = small.drop(n)
     if hot.isEmpty():
         return large.join(rest, on)
