@@ -13,8 +13,9 @@ from pyspark.sql.types import StructType
 
 from keyloom.storage import new_path, remove, stored  # noqa: F401  the operators take them from here
 
-#: What a function sees of an Arrow batch at once: rows, and bytes unless one row has more.
+#: Rows of an Arrow batch, and bytes unless one row has more.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -33,9 +34,14 @@ def in_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Calla
     """Runs ``make()(batch)`` over Arrow batches; each yielded dict of columns becomes a batch.
 
     ``make`` is called once for each task, so models and compressors are built there.
-    A batch comes in parts of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes;
-    Spark's own bound on a batch's bytes holds before that.
+    A batch has at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes.  Spark reads its
+    settings for that when the plan is run, so the session's are lowered, if they are
+    higher, and stay so: larger batches take more memory than an executor may have.
     """
+    conf = df.sparkSession.conf
+    for name, most in _BOUNDS.items():
+        if _number(conf.get(name)) > most or _number(conf.get(name)) <= 0:
+            conf.set(name, str(most))
     fields = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,6 +56,10 @@ def in_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Calla
     return df.mapInArrow(run, schema)
 
 
+def _number(setting: str) -> int:
+    return int(setting.rstrip("bB"))
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     waiting = [batch] if batch.num_rows else []
     while waiting:
