@@ -30,6 +30,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """``df``, known to have at most ``rows`` rows, in no more partitions than those ask for (eight at least).
+
+    A shuffle's partitions follow its setting; small tables that are written again and
+    again would otherwise be as many files as that.  More rows than that are left as they are.
+    """
+    return df.coalesce(max(8, -(-rows // each)))
+
+
 def in_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict[str, list]]]]) -> DataFrame:
     """Runs ``make()(batch)`` over Arrow batches; each yielded dict of columns becomes a batch.
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import in_batches, stored, texts
+from keyloom.llm.common import in_batches, sized, stored, texts
 from keyloom.llm.graph import components
 from keyloom.llm.simhash import _signed, fingerprint, masks, shingle_hashes
 
@@ -132,13 +132,14 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "d
     keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(sizes, ["t", "k"]).join(nodes.select("node", "fp", "sketch"), "node")
-    shared = stored(shared, "near-buckets")
+    shared = stored(sized(shared, nodes.count() * (BANDS + len(masks(2)))), "near-buckets")
     small, large = shared.where(F.col("n") <= few), shared.where(F.col("n") > few)
     majority = large.groupBy("t", "k").agg(F.count("*").alias("m"), *[F.sum(F.shiftright("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)])
     centre = sum((F.when(F.col(f"b{i}") * 2 > F.col("m"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(64)), F.lit(0).cast("long"))
     centres = majority.select("t", "k", centre.alias("centre"))
     hubs = large.join(centres, ["t", "k"]).groupBy("t", "k").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "node", "sketch")).alias("hub")).select("t", "k", "hub.*")
-    hubs = stored(hubs, "hubs")
+    in_large = large.count()
+    hubs = stored(sized(hubs, in_large), "hubs")
     pairs = _candidates(small, small, least, F.col("x.node") < F.col("y.node")).unionByName(_candidates(hubs, large, least, F.col("x.node") != F.col("y.node")))
     given = docs.select(F.col(text).alias("_text"), key)
     tried = stored(pairs.distinct(), "near-pairs")
@@ -149,7 +150,7 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "d
     while most:
         named = large.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         main = named.groupBy("t", "k", "c").count().groupBy("t", "k").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        named = stored(named.join(main, ["t", "k"]), "bucket-components")
+        named = stored(sized(named.join(main, ["t", "k"]), in_large), "bucket-components")
         rest, before = named.where("c != main"), outside
         outside = rest.count()
         if not outside:
@@ -173,13 +174,15 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "d
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, least: float, key: str) -> DataFrame:
     """The (stored) pairs of nodes whose shingle sets are at least that similar.  Only texts of such nodes are read again, one for each node."""
+    n = pairs.count()
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     places = nodes.join(wanted, "node", "left_semi").select(F.col(f"p.{key}").alias("_key")).distinct()
     texts_of = docs.join(places, docs[key].eqNullSafe(F.col("_key")), "left_semi")
-    sets = stored(shingle_sets(texts_of, shingle, "_text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    sets = shingle_sets(texts_of, shingle, "_text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = stored(sized(sets, 2 * n, 2000), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return sized(both.where(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"), n, 2000)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +190,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
     rows, nodes, found = classes(docs, shingle, least, key, text)
     named = nodes.select("node", "p").join(found, "node", "left").select("p", F.coalesce("component", "node").alias("component"))
     kept = named.groupBy("component").agg(F.min("p").alias("p"))
-    kept = stored(kept.select(F.col(f"p.{key}").alias("_key"), F.col("p.th").alias("_th")).distinct(), "kept-documents")
+    kept = kept.select(F.col(f"p.{key}").alias("_key"), F.col("p.th").alias("_th")).distinct()
+    kept = stored(sized(kept, nodes.count()), "kept-documents")
     own = [c for c in docs.columns]
     schema = T.StructType([*docs.schema.fields, T.StructField("_th", T.LongType())])
 

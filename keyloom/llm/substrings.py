@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import dropped, in_batches, partitions, spread, stored, texts, values
+from keyloom.llm.common import dropped, in_batches, partitions, sized, spread, stored, texts, values
 
 LENGTH = 200
 GRAM = 80
 #: Bytes of a block, and the number of segments beyond which an anchor's windows are split.
 BLOCK, MANY = 1 << 18, 900
+#: Segments of a file of an intermediate table.
+EACH = 100_000
 RANGES = (16, 4, 1)
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = 23  # bits for a position in a stretch of a text; the hash has the rest
@@ -216,12 +218,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ma
         return each
 
     every = stored(in_batches(given, "h long, tag long, anchor long, seg long, first long, last long, lead long", make_segments), "segments")
-    again = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
     total = every.count()
-    shared = stored(spread(every, again, ["anchor"], "n", total), "shared-segments")
+    again = stored(sized(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), total, EACH), "shared-anchors")
+    shared = stored(sized(spread(every, again, ["anchor"], "n", total), total, EACH), "shared-segments")
     dropped(every, again)
-    kinds = stored(shared.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("h", "tag", "first", "last", "lead")).alias("at")), "segment-kinds")
-    copied = stored(kinds.where("copies > 1").select("anchor", "seg", "copies"), "copied-segments")
+    kinds = shared.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("h", "tag", "first", "last", "lead")).alias("at"))
+    kinds = stored(sized(kinds, total, EACH), "segment-kinds")
+    copied = stored(sized(kinds.where("copies > 1").select("anchor", "seg", "copies"), total, EACH), "copied-segments")
     whole = spread(shared, copied, ["anchor", "seg"], "copies", total).select("h", "tag", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     mixed = _mixed(kinds).select("anchor")
     wanted = kinds.join(mixed, "anchor").select("at.*", "anchor", "seg", "copies")
@@ -245,7 +248,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ma
     bodies = stored(bodies.select(*_BODY), "segment-bodies")
     found = whole
     for width in RANGES:
-        sizes = stored(bodies.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor"), "large-anchors")
+        sizes = bodies.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many).select("anchor")
+        sizes = stored(sized(sizes, total, EACH), "large-anchors")
         if sizes.isEmpty():
             break
         found = found.unionByName(_in_blocks(bodies.join(sizes, "anchor", "left_anti"), length))
