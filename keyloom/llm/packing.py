@@ -24,7 +24,7 @@ from itertools import accumulate
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,9 +162,9 @@ def tokenised(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str |
 def _bucket(spark: SparkSession, bounds: np.ndarray):
     shared = spark.sparkContext.broadcast(bounds)
 
-    @F.pandas_udf("long")
-    def bucket(curve: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, curve.to_numpy(), side="right").astype(np.int64))
+    @F.arrow_udf("long")
+    def bucket(curve: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, curve.to_numpy(zero_copy_only=False), side="right").astype(np.int64))
 
     return bucket
 

@@ -32,7 +32,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -342,9 +341,9 @@ def _in_blocks(bodies: DataFrame, length: int) -> DataFrame:
     return in_batches(grouped, "h long, tag long, a long, b long", make)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns with ``kept`` (the remaining bytes), ``n_bytes, n_removed, n_spans, kept_sha256`` and ``removed`` (start, end of each run)."""
-    new = T.StructType.fromDDL("kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>").fields
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """The ``keep`` columns with ``kept`` (the remaining bytes, or if ``decoded`` their whole characters), ``n_bytes, n_removed, n_spans, kept_sha256`` and ``removed`` (start, end of each run)."""
+    new = T.StructType.fromDDL(f"kept {'string' if decoded else 'binary'}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>").fields
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in new}]
     spans = repeated_spans(docs, text, length)
     h, tag = _identity(F.col(text))
@@ -362,7 +361,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k
                     rest.append(t[at:a])
                     at = b
                 rest = b"".join([*rest, t[at:]])
-                rows.append((rest, len(t), len(t) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": b} for a, b in gone]))
+                rows.append((rest.decode("utf-8", "ignore") if decoded else rest, len(t), len(t) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": b} for a, b in gone]))
             yield {c: batch.column(batch.schema.get_field_index(c)) for c in kept} | {f.name: [r[k] for r in rows] for k, f in enumerate(new)}
 
         return each
@@ -377,16 +376,9 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     white space go; an ``n_chars`` column is brought up to date.
     """
     columns = docs.columns
-    cut = without_repeats(docs, text, length)
-    rest = cut.withColumn(text, F.when(F.col("n_removed") > 0, _decoded(F.col("kept"))).otherwise(F.col(text)))
+    cut = without_repeats(docs, text, length, decoded=True)
+    rest = cut.withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))
     rest = rest.where((F.col("n_removed") == 0) | (F.trim(text) != ""))
     if "n_chars" in columns:
         rest = rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rest.select(*columns)
-
-
-def _decoded(raw: Column) -> Column:
-    def decode(given: pd.Series) -> pd.Series:
-        return given.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
-
-    return F.pandas_udf(decode, "string")(raw)
