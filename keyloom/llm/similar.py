@@ -118,6 +118,11 @@ def _plausible(least: float) -> Column:
     return differ <= most
 
 
+def _first_shared() -> Column:
+    """Whether no table before this one has the two in one bucket."""
+    return F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.t") + 1
+
+
 def _candidates(x: DataFrame, y: DataFrame, least: float, *which: Column) -> DataFrame:
     """Distinct plausible pairs (a < b) within the buckets for which ``which`` holds."""
     which = reduce(Column.__and__, [which[0], _plausible(least), *which[1:]])
@@ -158,7 +163,8 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "d
         last = asked >= most or before is not None and outside > 0.9 * before  # more members hardly help: what is left is alone
         if last:
             apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-            more = _candidates(rest, named, least, apart)
+            keyed_by = nodes.select("node", "keys")  # a pair that shares several buckets is met in one
+            more = _candidates(rest.join(keyed_by, "node"), named.join(keyed_by, "node"), least, apart, _first_shared())
         else:
             more = _candidates(rest, named.where((F.col("c") == F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("n")) < asked)), least, F.lit(True))
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "near-pairs")
