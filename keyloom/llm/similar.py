@@ -14,7 +14,9 @@ members of it, in rounds of more and more; those that are outside to the end are
 compared with every member of another class.  Links inside a class are not needed for
 the classes, so none is lost.  Candidates whose min-wise sketches (256 of four bits) differ in
 more places than a pair of that similarity does with a probability of ``LOST`` are not
-verified: they are further apart, but for one such pair in 10^12.
+verified: they are further apart, but for one such pair in 10^12.  Nor are those whose
+sets must be too different, which loses nothing: each shingle flips one of 1,024 bits, so
+two sets differ in as many shingles at least as their bits do.
 
 Nulls, empty texts and white space have the empty set, and are copies of one
 another.  Of a class the row with the smallest key (then text hash) stays; rows equal
@@ -37,6 +39,7 @@ from keyloom.llm.graph import components
 from keyloom.llm.simhash import _signed, fingerprint, masks, shingle_hashes
 
 BANDS, ROWS, SKETCH = 20, 5, 256
+PARITY = 1024
 FEW = 24
 #: Members of a large bucket's main class that the nodes outside it are compared with first; sixteen times as many in each further round.
 PIVOTS = 32
@@ -58,9 +61,14 @@ def minima(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray], block: i
     return out
 
 
+def parity(shingles: np.ndarray) -> list[int]:
+    flips = np.bincount(((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64), minlength=PARITY)
+    return np.packbits(flips & 1, bitorder="little").view(np.int64).tolist()
+
+
 def sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """``key, th`` (of the row), ``node`` (of its shingle set), ``fp``, ``sketch`` (four bits of each minimum) and ``keys`` (of its buckets, by table)."""
-    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("th long, node long, fp long, sketch array<long>, keys array<long>").fields])
+    """``key, th`` (of the row), ``node`` (of its shingle set), ``fp``, ``sketch`` (four bits of each minimum), ``keys`` (of its buckets, by table), ``size`` of the set and ``parity`` (which of ``PARITY`` bits its shingles flip)."""
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("th long, node long, fp long, sketch array<long>, keys array<long>, size int, parity array<long>").fields])
 
     def make():
         family, covering = _family(SKETCH), masks(2)
@@ -76,7 +84,7 @@ def sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
                 four = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
                 sketch = np.bitwise_or.reduce(four.reshape(-1, 16) << places, axis=1).view(np.int64).tolist()
                 bands = [xxhash.xxh3_64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)]
-                rows.append((_signed(xxhash.xxh3_64_intdigest(t)), _signed(xxhash.xxh3_64_intdigest(s.tobytes())), fp, sketch, [*map(_signed, bands), *(fp & _signed(m) for m in covering)]))
+                rows.append((_signed(xxhash.xxh3_64_intdigest(t)), _signed(xxhash.xxh3_64_intdigest(s.tobytes())), fp, sketch, [*map(_signed, bands), *(fp & _signed(m) for m in covering)], len(s), parity(s)))
             yield {key: batch.column(batch.schema.get_field_index(key))} | {f.name: [r[k] for r in rows] for k, f in enumerate(schema.fields[1:])}
 
         return each
@@ -115,7 +123,11 @@ def _plausible(least: float) -> Column:
         z = F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])
         z = z.bitwiseOR(F.shiftright(z, 1))
         differ += F.bit_count(z.bitwiseOR(F.shiftright(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= most
+    size = F.col("x.size") + F.col("y.size")
+    apart = F.abs(F.col("x.size") - F.col("y.size"))
+    flipped = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITY // 64)), F.lit(0))
+    most_apart = size * F.lit((1 - least) / (1 + least)) + 1e-6
+    return (apart <= most_apart) & (differ <= most) & (flipped <= most_apart)
 
 
 def _first_shared() -> Column:
@@ -133,16 +145,16 @@ def _candidates(x: DataFrame, y: DataFrame, least: float, *which: Column) -> Dat
 def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text", few: int = FEW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches of all rows, nodes with their smallest (key, text hash) ``p``, ``node, component`` for the nodes that have a link)."""
     rows = stored(sketches(docs, shingle, key, text), "sketches")
-    nodes = stored(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "keys")], F.min(F.struct(key, "th")).alias("p")), "nodes")
+    nodes = stored(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sketch", "keys", "size", "parity")], F.min(F.struct(key, "th")).alias("p")), "nodes")
     keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["t", "k"]).join(nodes.select("node", "fp", "sketch"), "node")
+    shared = keyed.join(sizes, ["t", "k"]).join(nodes.select("node", "fp", "sketch", "size", "parity"), "node")
     shared = stored(sized(shared, nodes.count() * (BANDS + len(masks(2)))), "near-buckets")
     small, large = shared.where(F.col("n") <= few), shared.where(F.col("n") > few)
     majority = large.groupBy("t", "k").agg(F.count("*").alias("m"), *[F.sum(F.shiftright("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)])
     centre = sum((F.when(F.col(f"b{i}") * 2 > F.col("m"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(64)), F.lit(0).cast("long"))
     centres = majority.select("t", "k", centre.alias("centre"))
-    hubs = large.join(centres, ["t", "k"]).groupBy("t", "k").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "node", "sketch")).alias("hub")).select("t", "k", "hub.*")
+    hubs = large.join(centres, ["t", "k"]).groupBy("t", "k").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "node", "sketch", "size", "parity")).alias("hub")).select("t", "k", "hub.*")
     in_large = large.count()
     hubs = stored(sized(hubs, in_large), "hubs")
     pairs = _candidates(small, small, least, F.col("x.node") < F.col("y.node")).unionByName(_candidates(hubs, large, least, F.col("x.node") != F.col("y.node")))

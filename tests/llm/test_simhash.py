@@ -192,3 +192,15 @@ def test_recall_on_a_large_planted_group(spark, few, monkeypatch):
     want = jaccard_classes(rows)
     gone = {i for i, _ in rows} - want
     assert len(gone - kept) >= 0.99 * len(gone) and want <= kept
+
+
+def test_parity_never_drops_a_similar_pair():
+    rng = np.random.default_rng(13)
+    for _ in range(400):
+        n = int(rng.integers(1, 3000))
+        pool = rng.integers(0, 1 << 63, n + n // 2 + 1, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(pool[int(rng.integers(0, n // 2 + 1)) :])
+        x, y = (np.array(similar.parity(s)).view(np.uint64) for s in (a, b))
+        flipped = sum(int(v).bit_count() for v in x ^ y)
+        assert flipped <= len(np.setxor1d(a, b))
+    assert similar.parity(np.zeros(0, dtype=np.uint64)) == [0] * 16
