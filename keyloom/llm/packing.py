@@ -37,8 +37,9 @@ CACHE_CHUNKS = 300_000
 TASK_BYTES = 64 << 20
 #: Quantiles that are asked for at once, of the whole and then of each of its parts.
 QUANTILES = 1000
-#: Texts with anything else, or with white space after a space, take the tokenizer's own way.
-_PLAIN = re.compile("[^\n\x20-\x7e\xa1-\xac\xae-ɏͰ-ͳͶ-ͷΑ-ΡΣ-ϿЀ-ҁҊ-ӿ]| [ \n]")
+#: Texts with anything else, with white space after a space, or with a run of line ends (of which very
+#: long ones overflow the other library's stack), take the tokenizer's own way.
+_PLAIN = re.compile("\n{64}|[^\n\x20-\x7e\xa1-\xac\xae-ɏͰ-ͳͶ-ͷΑ-ΡΣ-ϿЀ-ҁҊ-ӿ]| [ \n]")
 
 
 class _Chunks(dict):

@@ -27,6 +27,13 @@ def test_ids_are_the_tokenizers(encoder, t):
     assert np.frombuffer(encoder.ids(t), dtype=encoder.dtype).tolist() == want
 
 
+@pytest.mark.parametrize("t", ["\n" * 1_500_000, "a\n" + "\n" * 1_500_000 + "b", "a" * 400_000, "7" * 400_000 + "\n\n", "! " * 200_000])
+def test_very_long_uniform_texts(encoder, t):
+    want = np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype=encoder.dtype).tobytes()
+    assert encoder.ids(t) == want
+    assert packing.Encoder(FILES[0]).ids(t) == want
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[a, b, c, d] for a in range(8) for b in range(8) for c in range(8) for d in range(8)], dtype=np.uint32)
     order = np.argsort(packing.hilbert(cells, 3))
