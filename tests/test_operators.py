@@ -236,3 +236,26 @@ def test_cache_entries_expire():
     assert not c.has("baz") and c.get("x") == 3
     with pytest.raises(KeyError):
         c.get("foo")
+
+
+@pytest.mark.parametrize("pruned", [False, True])
+def test_floor_seek_shuffles_no_pairs(spark, pruned):
+    """A row for each key and run may come out; none of them is shuffled, sorted or spilled."""
+    marks = spark.range(400).select((F.col("id") % 40).alias("run_id"), F.lpad(F.col("id").cast("string"), 4, "0").alias("min_key"))
+    meta = marks.groupBy("run_id").agg(F.lit("9999").alias("max_key"))
+    wanted = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("key"))
+    found = runs.floor_seek(marks, wanted, meta if pruned else None, 4)
+    assert found.count() == sum(1000 - run for run in range(40))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("AdaptiveSparkPlan") : plan.index("SortMergeJoin")]
+    assert not any(node in above for node in ("Exchange", "Window", "Sort", "Aggregate")), above
+
+
+def test_floor_seek_takes_repeated_and_null_keys_and_runs_of_one_key(spark):
+    marks = spark.createDataFrame([(1, "m"), (1, "m"), (1, "m"), (2, "a"), (2, "z")], "run_id long, min_key string")
+    wanted = spark.createDataFrame([("m",), (None,), ("l",), ("m",), ("zz",)], "key string")
+    meta = spark.createDataFrame([(1, "m"), (2, "z")], "run_id long, max_key string")
+    got = sorted(map(tuple, runs.floor_seek(marks, wanted).collect()))
+    assert got == [("l", 2, "a"), ("m", 1, "m"), ("m", 2, "a"), ("zz", 1, "m"), ("zz", 2, "z")]
+    assert sorted(map(tuple, runs.floor_seek(marks, wanted, meta).collect())) == [("l", 2, "a"), ("m", 1, "m"), ("m", 2, "a")]
+    assert runs.floor_seek(marks, wanted.limit(0)).count() == 0
