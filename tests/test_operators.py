@@ -273,3 +273,11 @@ def test_a_block_scan_holds_few_blocks(spark):
     rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
     assert rows == [(run, e["key"], e["seq"], e["kind"], e["value"]) for run, block in enumerate(held) for e in block]
     assert list(scan_blocks(iter([]))) == []
+
+
+def test_level_lookup_shuffles_no_pairs(spark):
+    from keyloom import queries as engine
+
+    found = engine.queries()["sst_level_lookup"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan[: plan.index("SortMergeJoin")] for node in ("Exchange", "Window", "Aggregate"))
