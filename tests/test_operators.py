@@ -281,3 +281,44 @@ def test_level_lookup_shuffles_no_pairs(spark):
     found = engine.queries()["sst_level_lookup"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not any(node in plan[: plan.index("SortMergeJoin")] for node in ("Exchange", "Window", "Aggregate"))
+
+
+@pytest.mark.parametrize("budget", [10, 120, 5000])
+def test_gathered_runs_are_whole_and_in_order(spark, budget):
+    """Buckets of running totals hold eight versions here; runs of one, of about six and of two hundred lie in them or across."""
+    log = spark.range(2000).select((F.col("id") * 8192 + 2).alias("seq"), F.concat(F.lit("k"), (F.col("id") * 7 % 30).cast("string")).alias("key"), (F.col("id") % 2).alias("kind"))
+    log = log.withColumns({"key": F.when(F.col("seq") != 77 * 8192 + 2, F.col("key")), "value": F.when(F.col("kind") == 0, F.repeat(F.lit("x"), (F.col("seq") / 8192 % 37).cast("int")))}).repartition(5)
+    got = runs.gathered_runs(log, budget).withColumn("part", F.spark_partition_id()).collect()
+    want = runs.assign_runs(log, budget).select("run_id", *log.columns).collect()
+    assert sorted(map(str, (r[:-1] for r in got))) == sorted(map(str, map(tuple, want)))
+    held, last = {}, {}
+    assert [r.seq for r in got if r.run_id is None] == [77 * 8192 + 2]
+    for r in (r for r in got if r.run_id is not None):
+        assert held.setdefault(r.run_id, r.part) == r.part
+        place = (r.run_id, r.key, -r.seq)
+        assert last.get(r.part, (-1,)) < place
+        last[r.part] = place
+
+
+def test_small_runs_share_files(spark):
+    from keyloom.storage_queries import _runs
+
+    entries = _runs(spark, "/root/testdata/sf0.01")
+    found = entries.select("run_id", "key", "seq", F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("at")).orderBy("file", "at").collect()
+    n = len({r.run_id for r in found})
+    assert len(found) == 10000 and n >= 14
+    assert len({r.file for r in found}) == len(entries.inputFiles()) <= 8 < n  # tasks, not runs
+    assert len({(r.run_id, r.file) for r in found}) == n
+    by = [(r.file, r.run_id, r.key, -r.seq) for r in found]
+    assert by == sorted(by)
+
+
+def test_floor_seek_answers_each_chunk_run_by_run(spark):
+    """The keys of a chunk come in the same order for each run, which is what lets a stored answer compress."""
+    marks = spark.range(400).select((F.col("id") * 7 % 40).alias("run_id"), F.lpad(F.col("id").cast("string"), 4, "0").alias("min_key"))
+    wanted = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("key"))
+    found = runs.floor_seek(marks, wanted, ranges=1).collect()
+    chunks, turns = -(-1000 // runs.SEEK_CHUNK), 1
+    for x, y in zip(found, found[1:]):
+        turns += (y.run_id, y.key) < (x.run_id, x.key)
+    assert len(found) == sum(1000 - run for run in range(40)) and turns == chunks
