@@ -313,12 +313,16 @@ def test_small_runs_share_files(spark):
     assert by == sorted(by)
 
 
-def test_floor_seek_answers_each_chunk_run_by_run(spark):
-    """The keys of a chunk come in the same order for each run, which is what lets a stored answer compress."""
+def test_floor_seek_answers_each_chunk_run_by_run(spark, monkeypatch):
+    """The keys of a chunk come in the same order for each run, which is what lets a stored answer compress; what goes by is one interval, not a chunk with all runs."""
+    monkeypatch.setattr(runs, "SEEK_CHUNK", 256)
     marks = spark.range(400).select((F.col("id") * 7 % 40).alias("run_id"), F.lpad(F.col("id").cast("string"), 4, "0").alias("min_key"))
     wanted = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("key"))
-    found = runs.floor_seek(marks, wanted, ranges=1).collect()
-    chunks, turns = -(-1000 // runs.SEEK_CHUNK), 1
+    found = runs.floor_seek(marks, wanted, ranges=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    streamed = plan[plan.index("SortMergeJoin") :]
+    assert streamed.index("_at#") < streamed.index("_keys#")
+    found, chunks, turns = found.collect(), 4, 1
     for x, y in zip(found, found[1:]):
         turns += (y.run_id, y.key) < (x.run_id, x.key)
     assert len(found) == sum(1000 - run for run in range(40)) and turns == chunks
